@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from runlake.llm.exact_dedup import exact_groups, normalised
 from runlake.llm.mixing import mix
+from runlake.llm.packing import pack
+from runlake.llm.shared import new_path
 from runlake.llm.sharding import byte_shards
+from runlake.llm.token_store import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = exact_groups(docs)
@@ -31,6 +40,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), 4096)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -56,8 +56,11 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarr
         at = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes, and for each row the number of words before it, then all."""
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes, and for each row the number of words before it, then all.
+
+    ``cut`` marks bytes, not separators themselves, at which a word starts even inside a run.
+    """
     gap = space[data]
     first = ~gap
     last = first.copy()
@@ -67,6 +70,9 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     edge = edge[(edge > 0) & (edge < len(data))]
     first[edge] |= ~gap[edge]  # a row's first byte starts a word, whatever stands before it
     last[edge - 1] |= ~gap[edge - 1]
+    if cut is not None:
+        first |= cut
+        last[:-1] |= cut[1:] & ~gap[:-1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
