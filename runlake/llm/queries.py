@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.llm.exact_dedup import exact_groups, normalised
+from runlake.llm.language_id import fit, predict
 from runlake.llm.mixing import mix
 from runlake.llm.packing import pack
 from runlake.llm.shared import new_path
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"))
+    found = predict(docs.withColumn("doc_id", F.struct("doc_id", "held_out")), fit(docs.where("not held_out")))
+    return found.select("doc_id.*", "lang_pred", "score")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     write_tokens(table(spark, sf_dir, "documents"), path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 SLICE = 4 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 #: Separators: as a pattern, [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -81,7 +81,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """64-bit hashes of data[start:end]: polynomial sums from one running sum, then mixed with the length."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
