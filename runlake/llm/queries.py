@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.exact_dedup import exact_groups, normalised
 from runlake.llm.language_id import fit, predict
+from runlake.llm.minhash import near_duplicates
 from runlake.llm.mixing import mix
 from runlake.llm.packing import pack
 from runlake.llm.shared import new_path
@@ -47,6 +48,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 4096)
 
