@@ -12,6 +12,7 @@ from runlake.llm.mixing import mix
 from runlake.llm.packing import pack
 from runlake.llm.shared import new_path
 from runlake.llm.sharding import byte_shards
+from runlake.llm.suffix_dedup import repeated_passages
 from runlake.llm.token_store import read_tokens, write_tokens
 
 
@@ -56,6 +57,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 4096)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), words=50)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
