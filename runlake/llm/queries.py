@@ -13,6 +13,7 @@ from runlake.llm.packing import pack
 from runlake.llm.shared import new_path
 from runlake.llm.sharding import byte_shards
 from runlake.llm.suffix_dedup import repeated_passages
+from runlake.llm import toxicity
 from runlake.llm.token_store import read_tokens, write_tokens
 
 
@@ -57,6 +58,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 4096)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), words=50)
 
