@@ -15,6 +15,7 @@ from runlake.llm.sharding import byte_shards
 from runlake.llm.suffix_dedup import repeated_passages
 from runlake.llm import toxicity
 from runlake.llm.token_store import read_tokens, write_tokens
+from runlake.llm.vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 4096)
 
