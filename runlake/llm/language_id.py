@@ -265,24 +265,42 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return np.fromiter((x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()), bool, len(texts))
 
 
+def _scored(model: Model, batch_text: pa.Array, scorer: Scorer) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(first row, languages, scores) for slices of a string column."""
+    for at, data, offsets in slices(batch_text, 8 << 20):
+        n = len(offsets) - 1
+        letters = has_letter(batch_text.slice(at, n))
+        names, scores = np.full(n, "und", object), np.zeros(n)
+        if model.langs:
+            logs, _ = scorer.score(data, offsets)
+            logs += model.prior
+            posterior = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            names[letters] = np.array(model.langs, object)[logs.argmax(1)[letters]]
+            scores[letters] = posterior[letters]
+        yield at, pa.array(names.tolist(), pa.string()), pa.array(scores)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of every row of ``docs``, from its whole text alone."""
-    langs, kind = model.langs, docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for at, data, offsets in slices(batch.column(1), 8 << 20):
-                n = len(offsets) - 1
-                letters = has_letter(batch.column(1).slice(at, n))
-                names, scores = np.full(n, "und", object), np.zeros(n)
-                if langs:
-                    logs, _ = scorer.score(data, offsets)
-                    logs += model.prior
-                    best = logs.argmax(1)
-                    posterior = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-                    names[letters] = np.array(langs, object)[best[letters]]
-                    scores[letters] = posterior[letters]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(names.tolist(), pa.string()), pa.array(scores)], [id_col, "lang_pred", "score"])
+            for at, names, scores in _scored(model, batch.column(1), scorer):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(names)), names, scores], [id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a posterior of ``least`` or more, all columns as they were."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for at, names, scores in _scored(model, batch.column(text_col), scorer):
+                kept = (np.array(names.to_pylist(), object) != "und") & (scores.to_numpy() >= least)
+                yield batch.slice(at, len(names)).filter(pa.array(kept))
+
+    return docs.mapInArrow(choose, docs.schema)

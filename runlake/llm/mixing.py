@@ -60,12 +60,15 @@ def tilt(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), F.exp(l)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, rate, copies (0 to cap), taken = copies * size."""
-    sizes = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")), "sizes")
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, rate, copies (0 to cap), taken = copies * size.
+
+    ``order_col`` (default the id) and the text's checksum give the hashed order, the same at each run.
+    """
+    sizes = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.col(order_col or id_col).alias("name"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")), "sizes")
     per = targets(sizes, weights, cap).withColumn("rate", F.least(F.lit(float(cap)), tilt(F.col("source_size"), F.col("target"))))
     per = stash(per.withColumnRenamed("source", "s"), "rates")
-    rows = sizes.join(small(per), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("order", F.xxhash64("id", "crc"))
+    rows = sizes.join(small(per), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("order", F.xxhash64("name", "crc"))
     whole = F.floor(F.col("rate") + 1e-9)
     rest = F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size"))
     run = with_prefix(rows, ["rank", "order", "id", "crc"], {"start": F.col("size")})

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +54,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_id``, different for each row and in the order of the id column, null last: what a file's rows are.
+
+    Rows that come from no file, or no longer plainly, are written to a scratch table first.
+    """
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select("*", name.alias("_id"))
+    except AnalysisException:
+        return stash(docs, "rows").select("*", name.alias("_id"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
