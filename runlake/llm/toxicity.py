@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlake.llm.language_id import GAPS
-from runlake.llm.shared import stash
+from runlake.llm.shared import bounded_sample, stash
 from runlake.llm.words import LOWER, hashes, slices, spans
 
 #: Labelled rows that training may take.
@@ -96,7 +96,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labels (id, label: 1 toxic, else unlabelled) and their texts."""
     marked = labels.select(F.col(id_col).alias("id"), F.coalesce(F.col(label_col).cast("int") == 1, F.lit(False)).alias("positive")).where("id is not null")
-    sample = marked.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(MAX_LABELLED).select(F.col("id").alias("key"), "positive")
+    sample = bounded_sample(marked, ["id"], MAX_LABELLED).select(F.col("id").alias("key"), "positive")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("key")).select("id", "positive", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

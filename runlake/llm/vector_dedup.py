@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlake.llm.shared import components, partitions, small, stash
+from runlake.llm.shared import bounded_sample, components, small, stash
 
 #: Wanted members of a shard; centroids of one split at most; vectors a split is fitted on; levels of splits.
 SHARD, SPLIT, SAMPLE, LEVELS = 1000, 64, 4096, 6
@@ -257,7 +257,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     classes = stash(classes.select("h", "cls", "first", "copies", kind).join(unit_of, "cls"), "units")
 
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    audit = stash(classes.orderBy(F.xxhash64("cls", F.lit(5)), "cls").limit(AUDIT), "audit")
+    audit = stash(bounded_sample(classes, ["cls"], AUDIT), "audit")
     exact = {r["cls"]: r["n"] for r in exact_links(classes, audit, least).collect()}
     share = MARGIN
     while True:
