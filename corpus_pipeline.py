@@ -29,9 +29,9 @@ CAPACITY = 4096
 
 
 def _without(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows but those that ``found`` (_id, kept) drops."""
-    dropped = stash(found.where("not kept").select("_id"), "dropped")
-    return rows.join(small(dropped), "_id", "left_anti").select(columns)
+    """The rows but those that ``found`` (_runlake_row, kept) drops."""
+    dropped = stash(found.where("not kept").select("_runlake_row"), "dropped")
+    return rows.join(small(dropped), "_runlake_row", "left_anti").select(columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +42,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal up to white space, the one of smallest id."""
     rows = numbered(docs)
-    return _without(rows, exact_groups(rows, "_id"), docs.columns)
+    return _without(rows, exact_groups(rows, "_runlake_row"), docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of near equality connect, the one of smallest id."""
     rows = numbered(docs)
-    return _without(rows, near_duplicates(rows, SHINGLE_WORDS, PERCENT, "_id"), docs.columns)
+    return _without(rows, near_duplicates(rows, SHINGLE_WORDS, PERCENT, "_runlake_row"), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = numbered(docs)
-    copies = mix(rows, WEIGHTS, MOST_COPIES, "_id", order_col="doc_id").where("copies > 0").select("_id", F.col("copies").alias("_copies"))
-    taken = rows.join(small(stash(copies, "copies")), "_id")
+    copies = mix(rows, WEIGHTS, MOST_COPIES, "_runlake_row", order_col="doc_id").where("copies > 0").select("_runlake_row", F.col("copies").alias("_copies"))
+    taken = rows.join(small(stash(copies, "copies")), "_runlake_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
 
 

@@ -1,13 +1,11 @@
 """What several operators use: scratch tables, global prefix sums, components, size-checked joins.
 
 Scratch tables are Parquet folders below ``spark.checkpoint.dir``, the folder that all executors
-share; they cut lineage and survive a lost executor. ``drop_scratch`` removes those of a session.
+share; they cut lineage and survive a lost executor. ``storage.drop_tables`` removes those of a session.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,32 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runlake.storage import new_path
+
 #: Runs of these characters separate words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only after its rows were counted and are no more than this.
 BROADCAST_ROWS = 1_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's folder for scratch tables, below ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder; any other session is an error,
-    because its executors would not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="runlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/runlake-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the scratch folder that nothing has used."""
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a scratch table and reads it back, so that its lineage ends there."""
     path = new_path(df.sparkSession, tag)
@@ -48,22 +28,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes the session's scratch tables; frames that still read them can't be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_id``, different for each row and in the order of the id column, null last: what a file's rows are.
+    """``docs`` with ``_runlake_row``, different for each row and in the order of the id column, null last: what a file's rows are.
 
     Rows that come from no file, or no longer plainly, are written to a scratch table first.
     """
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
-        return docs.select("*", name.alias("_id"))
+        return docs.select("*", name.alias("_runlake_row"))
     except AnalysisException:
-        return stash(docs, "rows").select("*", name.alias("_id"))
+        return stash(docs, "rows").select("*", name.alias("_runlake_row"))
 
 
 def partitions(spark: SparkSession) -> int:
