@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,23 @@ def copy_table(df: DataFrame, base: str, table: str, day: date) -> str:
     return path
 
 
+def copy_tables(tables: dict[str, Callable[[], DataFrame]], base: str, day: date, at_once: int = 4, tries: int = 3) -> dict[str, str]:
+    """Copies several tables, some at a time; each is read and written anew up to ``tries`` times. Gives OK or the error by table."""
+
+    def one(name: str) -> str:
+        for left in range(tries - 1, -1, -1):
+            try:
+                copy_table(tables[name](), base, name, day)
+                return "OK"
+            except PySparkException as e:
+                if not left:
+                    return str(e.getCondition() or type(e).__name__)
+        return "OK"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(tables, pool.map(one, tables)))
+
+
 def scan_snapshots(spark: SparkSession, base: str, table: str, since: date | None = None) -> DataFrame:
     """All snapshots of a table, or those of ``since`` and later, with _ingest_date; other days' files are not opened."""
     found = spark.read.option("basePath", f"{base}/{table}").parquet(f"{base}/{table}")

@@ -10,7 +10,7 @@ from runlake import schemas
 from runlake.functions.text import tenths
 from runlake.operators import classify, incidents as inc, policy, runs as ops
 from runlake.plans import knowledge as kb, medallion as med
-from runlake.sources import raw, records
+from runlake.sources import files, raw, records
 from runlake.storage import new_path
 from runlake.streaming import streams
 
@@ -255,3 +255,59 @@ def test_knowledge_grows_over_batches(spark):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(landed)
         found = streams.grow_knowledge(streams.arrived(spark, landed), base)
     assert {r["document"].split("\n")[0] for r in found.collect()} == {"Pipeline: new", "Pipeline: x"}
+
+
+def test_tables_are_copied_side_by_side_and_failures_named(spark):
+    base = new_path(spark, "raw")
+    jobs = {f"t{i}": (lambda i=i: spark.range(i)) for i in range(5)} | {"gone": lambda: spark.read.parquet(new_path(spark, "none"))}
+    report = raw.copy_tables(jobs, base, dt.date(2024, 1, 1))
+    assert report.pop("gone") == "PATH_NOT_FOUND" and set(report.values()) == {"OK"}
+    assert raw.scan_snapshots(spark, base, "t3").count() == 3
+
+
+def test_whole_files_become_documents(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "guide.md").write_text("# one\n\ntwo\n")
+    (tmp_path / "rules.json").write_text('[{"p": 1},\n {"p": 2}]')
+    (tmp_path / "single.json").write_text('{"p": 3}')
+    texts = kb.text_docs(files.whole_files(spark, str(tmp_path), ".md")).collect()
+    assert [(r["id"], r["document"], r["type"]) for r in texts] == [("runbook_guide", "# one\n\ntwo\n", "runbook")]
+    rules = kb.rule_docs(files.whole_files(spark, str(tmp_path), ".json")).collect()
+    assert {r["id"] for r in rules} == {"error_pattern_rules_0", "error_pattern_rules_1", "error_pattern_single_0"}
+
+
+def test_log_and_export_round_trip(spark, tiny):
+    from runlake import views
+
+    path, out = new_path(spark, "log"), new_path(spark, "export")
+    incidents = views.incidents(spark, tiny)
+    records.append_incidents(incidents, path)
+    records.append_incidents(incidents.limit(1), path)
+    assert records.read_incidents(spark, path).count() == incidents.count() + 1
+    records.write_export(incidents, out)
+    back = spark.read.csv(out, header=True)
+    assert back.columns == list(inc.EXPORT) and back.count() == incidents.count()
+
+
+def test_items_without_a_name(spark):
+    df = spark.createDataFrame([("1", None, "A"), ("2", "n", "A"), ("3", "x", "B")], "id string, display_name string, type string")
+    assert [r["name"] for r in ops.items_of(df, "A").collect()] == ["1", "n"]
+    assert {r["type"]: r["n"] for r in ops.item_counts(df).collect()} == {"A": 2, "B": 1}
+
+
+def test_lookback_leaves_out_what_has_not_ended(spark):
+    df = spark.createDataFrame([("a", T0), ("b", T0 - dt.timedelta(minutes=61)), ("c", None)], "run_id string, end_time timestamp_ntz")
+    assert [r["run_id"] for r in ops.within_minutes(df, 60, F.lit(T0)).collect()] == ["a"]
+
+
+def test_new_failures_of_repeated_runs(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "run_id string")
+    assert [r["run_id"] for r in ops.not_handled(df, spark.createDataFrame([("b",), (None,)], "run_id string")).collect()] == ["a"]
+
+
+def test_context_without_hits(spark):
+    queries = spark.createDataFrame([(1, [0.0])], "query_id int, embedding array<double>")
+    docs = spark.createDataFrame([], "id int, document string, source string, type string, embedding array<double>")
+    hits = kb.search(queries, docs)
+    assert kb.context(hits, docs, queries).first()["context"] == "No similar past errors found in knowledge base."
+    assert kb.references(hits, docs).count() == 0
