@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.llm.exact_dedup import exact_groups, normalised
+from runlake.llm import toxicity
+from runlake.llm.exact_dedup import exact_groups
 from runlake.llm.language_id import fit, predict
 from runlake.llm.minhash import near_duplicates
 from runlake.llm.mixing import mix
@@ -13,7 +14,6 @@ from runlake.llm.packing import pack
 from runlake.storage import new_path
 from runlake.llm.sharding import byte_shards
 from runlake.llm.suffix_dedup import repeated_passages
-from runlake.llm import toxicity
 from runlake.llm.token_store import read_tokens, write_tokens
 from runlake.llm.vector_dedup import near_vectors
 
@@ -35,11 +35,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact_groups(docs)
-    # the operator does not hash texts that are alone; the query owes every row's digest
-    alone = docs.select("doc_id", F.sha2(normalised("text").cast("binary"), 256).alias("sha")).join(found.where("text_sha256 is null").drop("text_sha256"), "doc_id").withColumnRenamed("sha", "text_sha256")
-    return found.where("text_sha256 is not null").unionByName(alone)
+    return exact_groups(table(spark, sf_dir, "documents"), all_digests=True)  # the query owes every row's digest
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
