@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlake.llm.shared import partitions, small, stash
+from runlake.llm.shared import bounded_sample, partitions, small, stash
 from runlake.llm.tokens import TOKENIZER, crc32, encoded
 
 #: Bounds of the dictionary and its training sample.
@@ -71,7 +71,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Encodes every text of ``docs`` and writes a store at ``path``, a folder that all executors share."""
     spark = docs.sparkSession
     tokens = stash(tokenized(docs, id_col, text_col, tokenizer, width), "tokens")
-    sample = tokens.select(F.xxhash64("doc_id", "crc").alias("h"), F.substring("ids", 1, SAMPLE_BYTES).alias("ids")).orderBy("h", "ids").limit(SAMPLES).collect()
+    sample = bounded_sample(tokens, ["doc_id", "crc"], SAMPLES).select(F.substring("ids", 1, SAMPLE_BYTES).alias("ids")).collect()
     dictionary = trained([bytes(r["ids"]) for r in sample])
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
