@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
-from test_operators import DOC, documents, frame, ids_of, normal, words_of
+from test_llm_operators import DOC, documents, frame, ids_of, normal, words_of
 
 from runlake.llm.shared import stash
 
