@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlake.llm.shared import components, partitions, small, stash
+from runlake.llm.shared import components, small, stash
 from runlake.llm.words import LOWER, gather, hashes, mix, slices, spans
 
 SYMBOLS = 64
@@ -156,7 +156,7 @@ def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(spread, "key long, cls long")
 
 
-def _links(rows: DataFrame, percent: int, spark_parts: int) -> DataFrame:
+def _links(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: verified links of blocks of rows (part, query, cls, comp, sig, shingles), one for each two components.
 
     Within a part, queries are compared with the rows that aren't, and with each other.
@@ -201,7 +201,7 @@ def _links(rows: DataFrame, percent: int, spark_parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     part = F.concat_ws(" ", *[F.col(k).cast("string") for k in ("hub", "i", "j")])
-    dealt = rows.select(part.alias("part"), "query", "cls", "comp", "sig", "shingles").repartition(spark_parts, "part").sortWithinPartitions("part")
+    dealt = rows.select(part.alias("part"), "query", "cls", "comp", "sig", "shingles").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(blocks, "a long, b long").distinct()
 
 
@@ -210,8 +210,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Rows are linked if 100 * shared shingles >= percent * shingles of either.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
     rows = stash(_signed(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "signed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.min("sig").alias("sig"))
@@ -232,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = dealt.where("cls <> hub").select("hub", block(F.col("n")).alias("i"), F.lit(False).alias("query"), "cls")
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("i"), F.lit(True).alias("query"), F.col("hub").alias("cls"))
     stars = stars.unionByName(centres).withColumns({"j": F.lit(0), "comp": F.col("cls")}).join(sets, "cls")
-    edges = stash(_links(stars, percent, parts), "stars")
+    edges = stash(_links(stars, percent), "stars")
 
     comps = stash(components(edges), "components")
     own = stash(met.join(comps, F.col("cls") == F.col("node"), "left").select("hub", "cls", F.coalesce("component", "cls").alias("comp")), "own")
@@ -243,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
     queries = rows_of.where("comp <> major").select("hub", F.col("a").alias("i"), spread("n").alias("j"), F.lit(True).alias("query"), "cls", "comp")
     others = rows_of.select("hub", spread("m").alias("i"), F.col("b").alias("j"), F.lit(False).alias("query"), "cls", "comp")
-    cross = _links(queries.unionByName(others).join(sets, "cls"), percent, parts)
+    cross = _links(queries.unionByName(others).join(sets, "cls"), percent)
     comps = stash(components(edges.unionByName(cross)), "components")
 
     joined = classes.join(comps, F.col("cls") == F.col("node"), "left").select("h1", "h2", "first", F.coalesce("component", "cls").alias("comp"))

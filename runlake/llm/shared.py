@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,10 +40,6 @@ def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return stash(docs, "rows").select("*", name.alias("_runlake_row"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``limit`` rows; else Spark shuffles. Give it a scratch table."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -66,13 +62,12 @@ def with_prefix(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Co
     sum, and the totals of the partitions, one row each, give what comes before a partition. Null
     values count as 0. Columns that start with ``_px`` are taken.
     """
-    spark = df.sparkSession
     order = [F.col(x) if isinstance(x, str) else x for x in order]
     keys = [f"_px_k{i}" for i in range(len(order))]
     values = {name: f"_px_v{i}" for i, name in enumerate(sums)}
     own = df.columns
     base = df.select(*own, *[x.alias(k) for x, k in zip(order, keys)], *[F.coalesce(v, F.lit(0)).cast("long").alias(values[n]) for n, v in sums.items()])
-    dealt = stash(base.repartitionByRange(partitions(spark), *keys).withColumn("_px_p", F.spark_partition_id()), "ranges")
+    dealt = stash(base.repartitionByRange(*keys).withColumn("_px_p", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_px_p").agg(*[F.sum(v).alias(f"{v}_t") for v in values.values()])
     before = Window.orderBy("_px_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     bases = totals.select("_px_p", *[F.coalesce(F.sum(f"{v}_t").over(before), F.lit(0)).alias(f"{v}_b") for v in values.values()])

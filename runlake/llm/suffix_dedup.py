@@ -124,6 +124,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
     some = some.join(near, F.col("id").eqNullSafe(F.col("own"))).select("text", "cls", "h1", "h2", "shared")
     found = stash(some.mapInArrow(windows, "w1 long, w2 long, cls long, at long, first long, last long"), "windows")
     twice = found.groupBy("w1", "w2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("w1", "w2")
+    twice = small(stash(twice, "repeated"))  # read from a table, so that the join splits a window that very many documents share
     matched = found.join(twice, ["w1", "w2"], "left_semi").select("cls", "at", "first", "last")
 
     order = Window.partitionBy("cls").orderBy("at")  # one document each

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlake.llm.shared import bounded_sample, partitions, small, stash
+from runlake.llm.shared import bounded_sample, small, stash
 from runlake.llm.tokens import TOKENIZER, crc32, encoded
 
 #: Bounds of the dictionary and its training sample.
@@ -98,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     doc = pa.struct([(k, pa.int64()) for k in ("doc_id", "at", "bytes", "n_tokens", "before")])
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("payload", pa.binary()), ("docs", pa.list_(doc))])
     order = ["doc_id", "crc", "n_tokens"]
-    dealt = tokens.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
+    dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
     dealt.mapInArrow(pack, f"shard int, block int, dict_hash string, payload binary, docs array<{_DOC}>").write.option("compression", "none").parquet(f"{path}/blocks")
     index = spark.read.parquet(f"{path}/blocks").select("shard", "block", F.explode("docs").alias("d")).select("shard", "block", "d.*")
     sums = index.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("n_tokens"))

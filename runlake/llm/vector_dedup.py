@@ -126,7 +126,6 @@ def _matrix(column) -> np.ndarray:
 
 def _split(members: DataFrame, margin: float) -> DataFrame:
     """(shard, cls, home, vec): members dealt to overlapping cells until shards have about SHARD of their own."""
-    spark = members.sparkSession
     done = None
     for _ in range(LEVELS):
         sizes = stash(members.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * SHARD), "large")
