@@ -18,7 +18,7 @@ from runlake.storage import new_path
 #: Runs of these characters separate words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only after its rows were counted and are no more than this.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -33,7 +33,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Rows that come from no file, or no longer plainly, are written to a scratch table first.
     """
-    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         return docs.select("*", name.alias("_runlake_row"))
     except AnalysisException:
