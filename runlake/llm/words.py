@@ -78,11 +78,21 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cut:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]: polynomial sums from one running sum, then mixed with the length."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of data[start:end], starts and ends ascending: polynomial sums, then mixed with the length.
+
+    The running sums are taken over one stretch of SLICE bytes at a time, unless a single word is longer.
+    """
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        base, size = starts[i], ends[j - 1] - starts[i]
+        up, down = powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(BYTES[data[base : base + size]] * up[:size], out=sums[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -37,3 +37,11 @@ def test_ids_are_the_tokenizers(texts):
     for _, bounds, ids in tokens.encoded(pa.array(texts, pa.string())):
         found += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(bounds) - 1)]
     assert found == [PLAIN.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_hashes_do_not_depend_on_where_a_text_lies(monkeypatch):
+    texts = ["one two " * 50, "x" * 300 + " two", "two"]
+    whole = [w.hashes(d, *w.spans(d, o)[:2]) for _, d, o in w.slices(pa.array(texts))]
+    monkeypatch.setattr(w, "SLICE", 16)
+    cut = [w.hashes(d, *w.spans(d, o)[:2]) for _, d, o in w.slices(pa.array(texts), 1)]
+    assert [x for a in whole for x in a.tolist()] == [x for a in cut for x in a.tolist()]
