@@ -38,7 +38,7 @@ SYMBOLS = 64
 #: A pair at the wanted similarity exceeds the distance threshold with at most this probability.
 MISS = 1e-4
 #: Classes of a hub that are compared at once.
-BLOCK = 128
+BLOCK = 512
 _RNG = np.random.default_rng(8191)
 _TIMES, _PLUS = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1), _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 _PLACE = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
