@@ -5,17 +5,17 @@ Two vectors of one label are linked if their cosine, in double precision, reache
 1. Equal vectors form a class. The classes of a label are dealt to the cells of k-means centroids (fitted
    on a bounded sample), again and again until a shard has at most about SHARD of its own. A class has one
    home shard and is a guest in those whose boundary is within a margin of it: shards overlap.
-2. Each shard builds a graph by robust pruning (alpha), in both directions; a class's adjacency lists of
-   all its shards are united.
-3. Each member of a shard searches it greedily, from the shard's medoids and its own place, and keeps
-   expanding whatever lies within the range. What it finds among the shard's own members counts, so that
-   no pair counts twice; each is verified by its cosine.
+2. Each shard builds a graph of its own members by robust pruning (alpha), in both directions.
+3. Each member searches its home shard greedily, from the shard's medoids and its own place, and keeps
+   expanding whatever lies within the range; guests search from the medoids. What a search finds is
+   counted for the class that searches; each is verified by its cosine.
 4. Recall is audited: AUDIT queries (smallest hash) are compared with all rows exactly. Below the wanted
    recall the margin doubles, up to the one at which no pair can be lost between shards.
 
 A shard that cannot be split (one dense ball) is cut into blocks of its own members by hash, and all its
-members search each block. Links are united within a shard and leave it as edges to one root each, never
-as all pairs. The driver sees counts and audited sums only; centroids come as one row a shard.
+members search each block. Guests are dealt to a shard's graph in blocks of about SHARD: a group holds one
+graph and one block, however many guests a shard has. Links are united within a group and leave it as
+edges to one root each, never as all pairs. The driver sees counts and audited sums only; centroids come as one row a shard.
 
 Rows: null labels, and vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths are not compared. Repeated rows and equal ids are rows of their own,
@@ -102,11 +102,11 @@ def entries(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.array(found)
 
 
-def search(x: np.ndarray, edges: list[np.ndarray], starts: np.ndarray, i: int, least: float) -> np.ndarray:
-    """Members whose cosine with member i reaches ``least``, as a range-expanding greedy search finds them."""
-    seen, seen_any = np.unique(np.append(starts, i)), np.zeros(len(x), bool)
+def search(x: np.ndarray, edges: list[np.ndarray], starts: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Members whose cosine with ``q`` reaches ``least``, as a range-expanding greedy search finds them."""
+    seen, seen_any = np.unique(starts), np.zeros(len(x), bool)
     seen_any[seen] = True
-    cosine = x[seen] @ x[i]
+    cosine = x[seen] @ q
     open_ = np.ones(len(seen), bool)
     while True:
         bar = np.partition(cosine, -BEAM)[-BEAM] if len(cosine) > BEAM else -2.0
@@ -117,7 +117,14 @@ def search(x: np.ndarray, edges: list[np.ndarray], starts: np.ndarray, i: int, l
         new = np.unique(np.concatenate([edges[j] for j in seen[front]]))
         new = new[~seen_any[new]]
         seen_any[new] = True
-        seen, cosine, open_ = np.append(seen, new), np.append(cosine, x[new] @ x[i]), np.append(open_, np.ones(len(new), bool))
+        seen, cosine, open_ = np.append(seen, new), np.append(cosine, x[new] @ q), np.append(open_, np.ones(len(new), bool))
+
+
+def unite(root: np.ndarray, at: np.ndarray) -> None:
+    """Gives the members ``at`` and all that have their roots one root, the least."""
+    own = np.unique(root[at])
+    if len(own) > 1:
+        root[np.isin(root, own)] = own[0]
 
 
 def _matrix(column) -> np.ndarray:
@@ -125,7 +132,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _split(members: DataFrame, margin: float) -> DataFrame:
-    """(shard, cls, home, vec): members dealt to overlapping cells until shards have about SHARD of their own."""
+    """(shard, cls, home, vec): members dealt to overlapping cells until shards have about SHARD of their own; guests without vec."""
     done = None
     for _ in range(LEVELS):
         sizes = stash(members.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * SHARD), "large")
@@ -153,9 +160,10 @@ def _split(members: DataFrame, margin: float) -> DataFrame:
                     c = np.frombuffer(own["centres"].iloc[0], np.float64).reshape(-1, x.shape[1])
                     row, cell = cells(x, c, margin)
                     near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
-                    out = own.iloc[row]
-                    home = out["home"].to_numpy() & (near[row] == cell)
-                    yield pa.RecordBatch.from_arrays([pa.array(out["shard"] + "/" + cell.astype(str), pa.string()), pa.array(out["cls"], pa.int64()), pa.array(home), pa.array(out["vec"], pa.binary())], ["shard", "cls", "home", "vec"])
+                    for a in range(0, len(row), 10_000):  # a row can be a guest of every cell
+                        out, to = own.iloc[row[a : a + 10_000]], cell[a : a + 10_000]
+                        home = out["home"].to_numpy() & (near[row[a : a + 10_000]] == to)
+                        yield pa.RecordBatch.from_arrays([pa.array(out["shard"] + "/" + to.astype(str), pa.string()), pa.array(out["cls"], pa.int64()), pa.array(home), pa.array(out["vec"], pa.binary())], ["shard", "cls", "home", "vec"])
 
         members = stash(large.drop("n").join(small(means, 2000), F.col("shard") == F.col("at")).select("shard", "cls", "home", "vec", "centres").mapInArrow(deal, "shard string, cls long, home boolean, vec binary"), "cells")
     members = members if done is None else done.unionByName(members)
@@ -163,51 +171,52 @@ def _split(members: DataFrame, margin: float) -> DataFrame:
     sizes = stash(members.where("home").groupBy("shard").agg(F.ceil(F.count("*") / (1.5 * SHARD)).cast("int").alias("blocks")), "blocks")
     spread = members.join(small(sizes), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     home = F.col("home") & (F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")) == F.col("block"))
-    return stash(spread.select(F.concat_ws("#", "shard", F.col("block").cast("string")).alias("shard"), "cls", home.alias("home"), "vec"), "shards")
+    return stash(spread.select(F.concat_ws("#", "shard", F.col("block").cast("string")).alias("shard"), "cls", home.alias("home"), F.when(home, F.col("vec")).alias("vec")), "shards")
 
 
 def _linked(members: DataFrame, copies: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(cls, n) rows that add up to a class's links, and (a, b) edges that connect what is linked."""
+    own = stash(members.where("home").select("shard", "cls", "vec").join(copies, "cls"), "own")
+    guests = members.where("not home").select("shard", "cls")
+    blocks = stash(guests.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")), "guest-blocks")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cls")
-        x, cls = _matrix(rows["vec"]), rows["cls"].to_numpy()
+        x = _matrix(rows["vec"])
         edges = prune(x @ x.T)
-        return pd.DataFrame({"cls": cls, "near": [cls[e].tobytes() for e in edges]})
-
-    lists = members.groupBy("shard").applyInPandas(build, "cls long, near binary")  # a shard is bounded
-    united = stash(lists.groupBy("cls").agg(F.collect_set("near").alias("near")), "adjacency")  # one list a shard
-    placed = members.join(united, "cls").join(copies, "cls")
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cls")
-        x, cls, home, many = _matrix(rows["vec"]), rows["cls"].to_numpy(), rows["home"].to_numpy(), rows["copies"].to_numpy()
-        edges = []
-        for i, lists in enumerate(rows["near"]):
-            near = np.unique(np.concatenate([np.frombuffer(v, np.int64) for v in lists]))
-            at = np.minimum(np.searchsorted(cls, near), len(cls) - 1)
-            edges.append(at[(cls[at] == near) & (at != i)])
-        starts = entries(x, edges)
-        root = np.arange(len(cls))
-
-        def up(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        n = np.zeros(len(cls), np.int64)
-        for i in range(len(cls)):
-            found = search(x, edges, starts, i, least)
-            found = found[(found != i) & home[found]]
-            n[i] = many[found].sum()
-            for j in found.tolist():
-                a, b = up(i), up(j)
-                root[max(a, b)] = min(a, b)
-        top = np.array([up(i) for i in range(len(cls))], np.int64)
-        return pd.DataFrame({"cls": cls, "n": n, "root": cls[top] if len(cls) else cls})
-
-    found = stash(placed.groupBy("shard").applyInPandas(find, "cls long, n long, root long"), "found")
+        packed = {"cls": rows["cls"].to_numpy(np.int64), "copies": rows["copies"].to_numpy(np.int64), "vecs": x, "edges": np.concatenate(edges), "ends": np.cumsum([len(e) for e in edges]), "starts": entries(x, edges)}
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], **{k: [v.tobytes()] for k, v in packed.items()}})
+
+    graphs = own.groupBy("shard").applyInPandas(build, "shard string, cls binary, copies binary, vecs binary, edges binary, ends binary, starts binary")  # of home members: bounded
+    graphs = stash(graphs, "graphs").join(small(blocks), "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))))
+    asked = guests.join(small(blocks), "shard").select("shard", (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")) + 1).cast("int").alias("block"), "cls")
+    asked = asked.join(own.select("cls", "vec"), "cls")
+
+    def find(rows: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        if not len(graph):  # a cell without members of its own
+            return pd.DataFrame({"cls": [], "n": [], "root": []}, dtype=np.int64)
+        graph = graph.iloc[0]
+        cls, many, flat, ends, starts = (np.frombuffer(graph[k], np.int64) for k in ("cls", "copies", "edges", "ends", "starts"))
+        x, edges, root = np.frombuffer(graph["vecs"], np.float64).reshape(len(cls), -1), np.split(flat, ends[:-1]), np.arange(len(cls))
+        if graph["block"] == 0:  # the shard's own members
+            n = np.zeros(len(cls), np.int64)
+            for i in range(len(cls)):
+                found = search(x, edges, np.append(starts, i), x[i], least)
+                n[i] = many[found[found != i]].sum()
+                unite(root, np.append(found, i))
+            return pd.DataFrame({"cls": cls, "n": n, "root": cls[root]})
+        ids, n, first = rows["cls"].to_numpy(np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+        for i, q in enumerate(rows["vec"]):
+            found = search(x, edges, starts, np.frombuffer(q, np.float64), least)
+            if len(found):
+                n[i], first[i] = many[found].sum(), found[0]
+                unite(root, found)
+        tied = root != np.arange(len(cls))
+        tops = np.where(first < 0, ids, cls[root[first]])
+        return pd.DataFrame({"cls": np.append(ids, cls[tied]), "n": np.append(n, np.zeros(tied.sum(), np.int64)), "root": np.append(tops, cls[root[tied]])})
+
+    pairs = asked.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block"))
+    found = stash(pairs.applyInPandas(find, "cls long, n long, root long"), "found")
     return found.select("cls", "n"), found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b"))
 
 

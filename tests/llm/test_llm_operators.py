@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -10,7 +11,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from tokenizers import Tokenizer
 
 from oracle import assert_same, connect
@@ -329,6 +332,30 @@ def test_near_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], VECTOR)).count() == 0
 
 
+def test_groups_of_a_dense_ball_are_bounded(spark, monkeypatch):
+    size, n = 50, 400
+    monkeypatch.setattr(vector_dedup, "SHARD", size)
+
+    def bounded(run):
+        def spied(grouped, func, schema):
+            def checked(*sides):
+                assert func.__name__ == "fit" or sum(map(len, sides)) <= 2.5 * size, "a group grows with the ball"  # a fit has its sample
+                return func(*sides)
+
+            names = len(inspect.signature(func).parameters)
+            return run(grouped, (lambda a: checked(a)) if names == 1 else (lambda a, b: checked(a, b)), schema)
+
+        return spied
+
+    for kind in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInPandas", bounded(kind.applyInPandas))
+    rng = np.random.default_rng(3)
+    ball = rng.normal(size=12)
+    rows = [(i, (ball + rng.normal(size=12) * 0.01).tolist(), 1, *EXTRA) for i in range(n)]
+    found = vector_dedup.near_vectors(spark.createDataFrame(rows, VECTOR)).collect()
+    assert {(r["n_links"], r["component_id"]) for r in found} == {(n - 1, 0)} and len(found) == n
+
+
 def test_audit_counts_exactly(spark):
     df = spark.createDataFrame([(0, "k", np.array([1.0, 0.0]).tobytes(), 2), (1, "k", np.array([1.0, 0.0]).tobytes(), 3), (2, "m", np.array([1.0, 0.0]).tobytes(), 5)], "cls long, kind string, vec binary, copies long")
     assert {r["cls"]: r["n"] for r in vector_dedup.exact_links(df, df, 0.98).collect()} == {0: 3, 1: 2, 2: 0}
