@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlake.llm.shared import small, stash
+from runlake.llm.shared import numbered, small, stash
 from runlake.llm.words import LOWER, hashes, mix, powers, slices, spans
 
 GRAM, WINDOW = 8, 26
@@ -81,7 +81,8 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
     if head < GRAM:
         raise ValueError(f"passages need at least {GRAM + WINDOW - 1} words")
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    texts = texts.select("id", "text", F.col("_runlake_row.file").alias("file"), F.col("_runlake_row.row").alias("line"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,20 +91,21 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
                 places = np.unique(leftmost(runs(total, np.arange(len(own) - GRAM + 1), GRAM), WINDOW))
                 places = places[places + head <= len(own)]
                 found.append((i, len(own), *whole_hashes(own, total), int(starts[0]), int(ends[-1]), runs(total, places, head).view(np.int64), places.astype(np.int32)))
-            ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+            at = pa.array([x[0] for x in found], pa.int64())
+            ids, file, line = (batch.column(k).take(at) for k in (0, 2, 3))
             arrays = [pa.array([x[k] for x in found], pa.int64()) for k in range(1, 6)]
             lists = [pa.array([x[6] for x in found], pa.list_(pa.int64())), pa.array([x[7] for x in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([ids, *arrays, *lists], ["id", "n", "h1", "h2", "first", "last", "heads", "places"])
+            yield pa.RecordBatch.from_arrays([ids, file, line, *arrays, *lists], ["id", "file", "line", "n", "h1", "h2", "first", "last", "heads", "places"])
 
-    rows = texts.mapInArrow(outline, f"id {kind}, n long, h1 long, h2 long, first long, last long, heads array<long>, places array<int>")
+    rows = texts.mapInArrow(outline, f"id {kind}, file long, line long, n long, h1 long, h2 long, first long, last long, heads array<long>, places array<int>")
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "outlines")
     classes = stash(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row").alias("cls")), "classes")
-    reps = stash(rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select("cls", "id", "h1", "h2", "heads", "places"), "suffixes")
+    reps = stash(rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select("cls", "file", "line", "h1", "h2", "heads", "places"), "suffixes")
     # neighbours in the order of heads: one before or after has a suffix's head exactly if two classes have it
     heads = reps.select("cls", F.explode("heads").alias("head")).groupBy("head").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("head")
     each = reps.select("cls", F.explode(F.arrays_zip("heads", "places")).alias("s")).select("cls", F.col("s.heads").alias("head"), F.col("s.places").alias("place"))
     near = each.join(small(stash(heads, "heads")), "head", "left_semi").groupBy("cls").agg(F.collect_list("place").alias("shared"))  # of one document
-    near = stash(near.join(reps.select("cls", F.col("id").alias("own"), "h1", "h2"), "cls"), "near")
+    near = stash(near.join(reps.select("cls", "file", "line", "h1", "h2"), "cls"), "near")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["w1", "w2", "cls", "at", "first", "last"]
@@ -111,7 +113,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
             for i, own, total, starts, ends in documents_of(batch.column(0), words):
                 cls, h1, h2, shared = (batch.column(k)[i].as_py() for k in range(1, 5))
                 if (h1, h2) != whole_hashes(own, total):
-                    continue  # another text with the same id
+                    continue  # another text made from the same row of a file
                 kept = np.zeros(len(own), bool)
                 kept[shared] = True
                 least = leftmost(runs(total, np.arange(len(own) - GRAM + 1), GRAM), WINDOW)
@@ -120,8 +122,9 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
                 w1, w2 = runs(total, at, words), mix(runs(total, at, half) * np.uint64(3) + runs(total, at + half, words - half))
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), cls)), pa.array(at), pa.array(starts[at]), pa.array(ends[at + words - 1])], names)
 
-    some = texts.join(small(stash(near.select("own").distinct(), "owners")), F.col("id").eqNullSafe(F.col("own")), "left_semi")
-    some = some.join(near, F.col("id").eqNullSafe(F.col("own"))).select("text", "cls", "h1", "h2", "shared")
+    # by file and place in it, not by id: each class meets its one text, however many ids are null or equal
+    some = texts.join(small(stash(near.select("file", "line").distinct(), "owners")), ["file", "line"], "left_semi")
+    some = some.join(near, ["file", "line"]).select("text", "cls", "h1", "h2", "shared")
     found = stash(some.mapInArrow(windows, "w1 long, w2 long, cls long, at long, first long, last long"), "windows")
     twice = found.groupBy("w1", "w2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("w1", "w2")
     twice = small(stash(twice, "repeated"))  # read from a table, so that the join splits a window that very many documents share

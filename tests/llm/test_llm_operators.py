@@ -408,6 +408,22 @@ def test_passages_of_any_length_and_place(spark, seed):
     assert sorted((str(r["doc_id"]), r["start_word"], r["n_words"]) for r in found) == brute_passages(rows)
 
 
+def test_each_text_meets_its_own_class_only(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    rows = [(i, f"a{k} b{k} {passage} c{k}", "en", "s0") for k, i in enumerate([None] * 30 + [7] * 30)]
+    read, run = [], type(spark.range(1)).mapInArrow
+
+    def counted(df, *args):
+        read.append(df.count())
+        return run(df, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    found = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["start_word"], r["n_words"]) for r in found) == sorted((str(i), 2, 60) for i, *_ in rows)
+    assert read == [60, 60]  # texts outlined, texts with shared heads
+
+
 def test_forward_sums_all_segmentations():
     table = language_id.pieces(language_id.VOCABULARY)
     rng = np.random.default_rng(0)
