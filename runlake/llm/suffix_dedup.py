@@ -1,13 +1,14 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by sparse suffixes compared by hash.
 
 A suffix is kept where its first GRAM words have the least hash of WINDOW neighbouring places: the
 places depend on the content alone, so equal passages keep equal suffixes. A passage of ``words`` words
 holds a kept suffix in its first WINDOW places, so that it shares at least ``words - WINDOW + 1`` words
-of that suffix, its head. The suffixes are sorted by their heads and compared with their neighbours;
-those whose head equals a neighbour's head in another class of equal documents stay. Around them each
-match is extended to the left and to the right: a window of ``words`` words repeats if it occurs in
-another document, and windows are compared only where the head of their own least place repeats. What repeated
-windows cover, joined where they touch, are a document's passages.
+of that suffix, its head. No suffix is sorted: heads are grouped by a hash, and suffixes stay whose head
+occurs in another class of equal documents. A second pass hashes every window of ``words`` words whose
+own least place has such a head; a window repeats if it occurs in another document. What repeated windows
+cover, joined where they touch, are a document's passages. Comparing neighbours in a sorted sparse array
+would not do: a window reaches to both sides of its kept suffix, and the neighbour with the longest
+match to the right need not be the document that also agrees to the left.
 
 Documents of equal words are one class, extended once; in a class of more than one, all its words repeat.
 Equality is of 64-bit hashes of words (ASCII lower-cased) and their order, pairs of them for windows.
@@ -101,7 +102,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "outlines")
     classes = stash(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row").alias("cls")), "classes")
     reps = stash(rows.join(classes.select("cls"), F.col("row") == F.col("cls")).select("cls", "file", "line", "h1", "h2", "heads", "places"), "suffixes")
-    # neighbours in the order of heads: one before or after has a suffix's head exactly if two classes have it
+    # heads that two classes have
     heads = reps.select("cls", F.explode("heads").alias("head")).groupBy("head").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("head")
     each = reps.select("cls", F.explode(F.arrays_zip("heads", "places")).alias("s")).select("cls", F.col("s.heads").alias("head"), F.col("s.places").alias("place"))
     near = each.join(small(stash(heads, "heads")), "head", "left_semi").groupBy("cls").agg(F.collect_list("place").alias("shared"))  # of one document
