@@ -7,10 +7,12 @@ Two vectors of one label are linked if their cosine, in double precision, reache
    home shard and is a guest in those whose boundary is within a margin of it: shards overlap.
 2. Each shard builds a graph of its own members by robust pruning (alpha), in both directions.
 3. Each member searches its home shard greedily, from the shard's medoids and its own place, and keeps
-   expanding whatever lies within the range; guests search from the medoids. What a search finds is
-   counted for the class that searches; each is verified by its cosine.
-4. Recall is audited: AUDIT queries (smallest hash) are compared with all rows exactly. Below the wanted
-   recall the margin doubles, up to the one at which no pair can be lost between shards.
+   expanding whatever lies within the range; guests search from the medoids. A link found counts for both
+   its ends; where each end is a guest of the other's shard, both search. Each is verified by its cosine.
+4. Recall is audited: AUDIT queries (smallest hash) are compared with all rows exactly. Its mean over the
+   queries that have links, a class counting once whatever its copies, must reach RECALL, and so must the
+   mean over those of at most SPARSE linked classes. Below that the margin doubles, up to the one at which
+   no pair can be lost between shards; then each group compares all its pairs instead of searching.
 
 A shard that cannot be split (one dense ball) is cut into blocks of its own members by hash, and all its
 members search each block. Guests are dealt to a shard's graph in blocks of about SHARD: a group holds one
@@ -43,6 +45,8 @@ DEGREE, ALPHA, POOL = 24, 1.2, 200
 BEAM, MEDOIDS, SLACK = 32, 8, 0.05
 #: Exact queries; share of their links that must be found; first margin as a share of the exact one.
 AUDIT, RECALL, MARGIN = 512, 0.9, 0.4
+#: Linked classes of a query that lies in no dense ball.
+SPARSE = 32
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -174,54 +178,73 @@ def _split(members: DataFrame, margin: float) -> DataFrame:
     return stash(spread.select(F.concat_ws("#", "shard", F.col("block").cast("string")).alias("shard"), "cls", home.alias("home"), F.when(home, F.col("vec")).alias("vec")), "shards")
 
 
-def _linked(members: DataFrame, copies: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(cls, n) rows that add up to a class's links, and (a, b) edges that connect what is linked."""
-    own = stash(members.where("home").select("shard", "cls", "vec").join(copies, "cls"), "own")
+def _linked(members: DataFrame, copies: DataFrame, least: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cls, n, m) rows that add up to a class's links and linked classes, and (a, b) edges that connect what is linked.
+
+    ``whole`` compares all pairs of a group instead of searching its graph.
+    """
     guests = members.where("not home").select("shard", "cls")
+    also = guests.groupBy("cls").agg(F.collect_list(F.xxhash64("shard")).alias("also"))  # shards a class is a guest of
+    own = members.where("home").select("shard", "cls", "vec").join(copies, "cls").join(also, "cls", "left")
+    own = stash(own.withColumn("base", F.xxhash64("shard")), "own")
     blocks = stash(guests.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")), "guest-blocks")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cls")
         x = _matrix(rows["vec"])
         edges = prune(x @ x.T)
-        packed = {"cls": rows["cls"].to_numpy(np.int64), "copies": rows["copies"].to_numpy(np.int64), "vecs": x, "edges": np.concatenate(edges), "ends": np.cumsum([len(e) for e in edges]), "starts": entries(x, edges)}
+        also = [np.zeros(0, np.int64) if v is None else np.asarray(v, np.int64) for v in rows["also"]]
+        packed = {"also": np.concatenate(also), "upto": np.cumsum([len(v) for v in also]), "cls": rows["cls"].to_numpy(np.int64), "copies": rows["copies"].to_numpy(np.int64), "vecs": x, "edges": np.concatenate(edges), "ends": np.cumsum([len(e) for e in edges]), "starts": entries(x, edges)}
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], **{k: [v.tobytes()] for k, v in packed.items()}})
 
-    graphs = own.groupBy("shard").applyInPandas(build, "shard string, cls binary, copies binary, vecs binary, edges binary, ends binary, starts binary")  # of home members: bounded
+    graphs = own.groupBy("shard").applyInPandas(build, "shard string, also binary, upto binary, cls binary, copies binary, vecs binary, edges binary, ends binary, starts binary")  # of home members: bounded
     graphs = stash(graphs, "graphs").join(small(blocks), "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0)))))
     asked = guests.join(small(blocks), "shard").select("shard", (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")) + 1).cast("int").alias("block"), "cls")
-    asked = asked.join(own.select("cls", "vec"), "cls")
+    asked = asked.join(own.select("cls", "vec", "copies", "base"), "cls")
 
     def find(rows: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(graph):  # a cell without members of its own
-            return pd.DataFrame({"cls": [], "n": [], "root": []}, dtype=np.int64)
+            return pd.DataFrame({"cls": [], "n": [], "m": [], "root": []}, dtype=np.int64)
         graph = graph.iloc[0]
-        cls, many, flat, ends, starts = (np.frombuffer(graph[k], np.int64) for k in ("cls", "copies", "edges", "ends", "starts"))
+        cls, many, flat, ends, starts, also, upto = (np.frombuffer(graph[k], np.int64) for k in ("cls", "copies", "edges", "ends", "starts", "also", "upto"))
         x, edges, root = np.frombuffer(graph["vecs"], np.float64).reshape(len(cls), -1), np.split(flat, ends[:-1]), np.arange(len(cls))
+
+        def near(starts: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(x @ q >= least) if whole else search(x, edges, starts, q, least)
+
         if graph["block"] == 0:  # the shard's own members
-            n = np.zeros(len(cls), np.int64)
+            hit = np.zeros((len(cls), len(cls)), bool)
             for i in range(len(cls)):
-                found = search(x, edges, np.append(starts, i), x[i], least)
-                n[i] = many[found[found != i]].sum()
-                unite(root, np.append(found, i))
-            return pd.DataFrame({"cls": cls, "n": n, "root": cls[root]})
-        ids, n, first = rows["cls"].to_numpy(np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+                hit[i, near(np.append(starts, i), x[i])] = True
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+            for i in range(len(cls)):
+                unite(root, np.append(np.flatnonzero(hit[i]), i))
+            return pd.DataFrame({"cls": cls, "n": hit @ many, "m": hit.sum(1), "root": cls[root]})
+        ids, copies, base = (rows[k].to_numpy(np.int64) for k in ("cls", "copies", "base"))
+        n, m, first = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+        back, backs = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+        at = np.repeat(np.arange(len(cls)), np.diff(upto, prepend=0))
+        visits = {b: np.isin(np.arange(len(cls)), at[also == b]) for b in np.unique(base)}  # members that search b's shard themselves
         for i, q in enumerate(rows["vec"]):
-            found = search(x, edges, starts, np.frombuffer(q, np.float64), least)
+            found = near(starts, np.frombuffer(q, np.float64))
             if len(found):
-                n[i], first[i] = many[found].sum(), found[0]
+                n[i], m[i], first[i] = many[found].sum(), len(found), found[0]
                 unite(root, found)
-        tied = root != np.arange(len(cls))
+                one_way = found[~visits[base[i]][found]]
+                back[one_way] += copies[i]
+                backs[one_way] += 1
+        told = (root != np.arange(len(cls))) | (backs > 0)
         tops = np.where(first < 0, ids, cls[root[first]])
-        return pd.DataFrame({"cls": np.append(ids, cls[tied]), "n": np.append(n, np.zeros(tied.sum(), np.int64)), "root": np.append(tops, cls[root[tied]])})
+        return pd.DataFrame({"cls": np.append(ids, cls[told]), "n": np.append(n, back[told]), "m": np.append(m, backs[told]), "root": np.append(tops, cls[root[told]])})
 
     pairs = asked.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block"))
-    found = stash(pairs.applyInPandas(find, "cls long, n long, root long"), "found")
-    return found.select("cls", "n"), found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    found = stash(pairs.applyInPandas(find, "cls long, n long, m long, root long"), "found")
+    return found.select("cls", "n", "m"), found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b"))
 
 
 def exact_links(classes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(cls, n): exact numbers of links of ``queries`` (few classes, broadcast) to all of ``classes``, in blocks."""
+    """(cls, n, m): exact numbers of links and of linked classes of ``queries`` (few classes, broadcast) to all of ``classes``, in blocks."""
     asked = [(r["cls"], r["kind"], bytes(r["vec"])) for r in queries.select("cls", "kind", "vec").collect()]  # AUDIT at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +258,16 @@ def exact_links(classes: DataFrame, queries: DataFrame, least: float) -> DataFra
                     cls = np.array([c for c, _ in by_kind[kind]])
                     hit = np.array([v for _, v in by_kind[kind]]) @ _matrix(own["vec"]).T >= least
                     hit &= cls[:, None] != own["cls"].to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(hit @ own["copies"].to_numpy(), pa.int64())], ["cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(hit @ own["copies"].to_numpy(), pa.int64()), pa.array(hit.sum(1), pa.int64())], ["cls", "n", "m"])
+
+    return classes.select("kind", "cls", "vec", "copies").mapInArrow(count, "cls long, n long, m long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
 
-    return classes.select("kind", "cls", "vec", "copies").mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
+def recalled(exact: dict[int, int], found: dict[int, int]) -> bool:
+    """Whether the mean recall of the queries that have links reaches RECALL, and that of those with few."""
+    shares = {q: min(1.0, found.get(q, 0) / m) for q, m in exact.items() if m}
+    sparse = [s for q, s in shares.items() if exact[q] <= SPARSE]
+    return all(np.mean(x) >= RECALL for x in (list(shares.values()), sparse) if x)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -266,18 +296,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
 
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
     audit = stash(bounded_sample(classes, ["cls"], AUDIT), "audit")
-    exact = {r["cls"]: r["n"] for r in exact_links(classes, audit, least).collect()}
-    share = MARGIN
+    exact = {r["cls"]: r["m"] for r in exact_links(classes, audit, least).collect()}
+    share, whole = MARGIN, False
     while True:
-        members = _split(classes.select(F.col("kind").alias("shard"), "cls", F.lit(True).alias("home"), "vec"), share * reach)
-        counts, edges = _linked(members, classes.select("cls", "copies"), least)
-        counts = stash(counts.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
-        found = counts.join(F.broadcast(audit.select("cls")), "cls").agg(F.sum("n")).first()[0] or 0
-        if found >= RECALL * sum(exact.values()) or share >= 1:
+        members = _split(classes.select(F.col("kind").alias("shard"), "cls", F.lit(True).alias("home"), "vec"), share * reach + 1e-9)
+        counts, edges = _linked(members, classes.select("cls", "copies"), least, whole)
+        counts = stash(counts.groupBy("cls").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+        found = {r["cls"]: r["m"] for r in counts.join(F.broadcast(audit.select("cls")), "cls").select("cls", "m").collect()}  # AUDIT at most
+        if whole or recalled(exact, found):
             break
-        share = min(1.0, share * 2)
+        share, whole = min(1.0, share * 2), share >= 1
 
-    joined = classes.select("h", "cls", "first", "copies").join(counts, "cls").join(components(edges), F.col("cls") == F.col("node"), "left")
+    joined = classes.select("h", "cls", "first", "copies").join(counts.select("cls", "n"), "cls").join(components(edges), F.col("cls") == F.col("node"), "left")
     joined = stash(joined.select("h", "first", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("comp")), "joined")
     leasts = stash(joined.groupBy("comp").agg(F.min("first").alias("least")), "least")
     joined = stash(joined.join(leasts, "comp").select("h", "n_links", "least"), "least-of")

@@ -356,6 +356,26 @@ def test_groups_of_a_dense_ball_are_bounded(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in found} == {(n - 1, 0)} and len(found) == n
 
 
+def test_recall_counts_queries_not_links():
+    hot = {i: 1000 for i in range(400)}
+    sparse = {1000 + i: 1 for i in range(20)}
+    assert vector_dedup.recalled(hot | sparse, hot | sparse) and vector_dedup.recalled({}, {}) and vector_dedup.recalled({1: 0}, {})
+    assert not vector_dedup.recalled(hot | sparse, hot)  # more than 0.99 of all links
+
+
+def test_lost_links_are_found_in_whole_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=12)) for i in range(300)]
+    rows = [(i, v.tolist(), 1, *EXTRA) for i, v in rows] + [(1000 + i, (v + rng.normal(size=12) * 0.04).tolist(), 1, *EXTRA) for i, v in rows]
+    points = np.array([np.array(r[1], np.float32).astype(float) for r in rows])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    expected = {r[0]: int(n) - 1 for r, n in zip(rows, (points @ points.T >= 0.98).sum(1))}
+    monkeypatch.setattr(vector_dedup, "SHARD", 30)
+    monkeypatch.setattr(vector_dedup, "recalled", lambda exact, found: False)
+    found = vector_dedup.near_vectors(spark.createDataFrame(rows, VECTOR)).collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == expected
+
+
 def test_audit_counts_exactly(spark):
     df = spark.createDataFrame([(0, "k", np.array([1.0, 0.0]).tobytes(), 2), (1, "k", np.array([1.0, 0.0]).tobytes(), 3), (2, "m", np.array([1.0, 0.0]).tobytes(), 5)], "cls long, kind string, vec binary, copies long")
     assert {r["cls"]: r["n"] for r in vector_dedup.exact_links(df, df, 0.98).collect()} == {0: 3, 1: 2, 2: 0}
