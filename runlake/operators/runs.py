@@ -34,8 +34,10 @@ def within_minutes(runs: DataFrame, minutes: int, anchor: Column, time: str = "e
 
 
 def not_handled(runs: DataFrame, handled: DataFrame) -> DataFrame:
-    """Runs whose id is not among the handled ones, once each; runs without an id are always new."""
-    return runs.dropDuplicates(["run_id"]).join(handled.select("run_id"), "run_id", "left_anti")
+    """Runs whose id is not among the handled ones, once each; runs without an id (null, or ``unknown`` as ingested) are always new, every row."""
+    known = F.coalesce(F.col("run_id") != "unknown", F.lit(False))
+    new = runs.where(known).dropDuplicates(["run_id"]).join(handled.select("run_id"), "run_id", "left_anti")
+    return new.unionByName(runs.where(~known))
 
 
 def by_workspace(runs: DataFrame) -> DataFrame:

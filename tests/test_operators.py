@@ -305,6 +305,13 @@ def test_new_failures_of_repeated_runs(spark):
     assert [r["run_id"] for r in ops.not_handled(df, spark.createDataFrame([("b",), (None,)], "run_id string")).collect()] == ["a"]
 
 
+def test_runs_without_an_id_are_all_new(spark):
+    df = spark.createDataFrame([(None, "w"), (None, "w"), ("unknown", "w"), ("unknown", "w"), ("a", "w"), ("a", "w"), ("b", "w")], "run_id string, workspace_id string")
+    new = ops.not_handled(df, spark.createDataFrame([("b",), ("unknown",), (None,)], "run_id string"))
+    assert sorted(str(r["run_id"]) for r in new.collect()) == ["None", "None", "a", "unknown", "unknown"]
+    assert ops.by_workspace(new).first()["new_failures"] == 5
+
+
 def test_context_without_hits(spark):
     queries = spark.createDataFrame([(1, [0.0])], "query_id int, embedding array<double>")
     docs = spark.createDataFrame([], "id int, document string, source string, type string, embedding array<double>")
