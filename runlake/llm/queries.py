@@ -14,6 +14,7 @@ from runlake.llm.packing import pack
 from runlake.storage import new_path
 from runlake.llm.sharding import byte_shards
 from runlake.llm.suffix_dedup import repeated_passages
+from runlake.llm.token_counts import token_counts
 from runlake.llm.token_store import read_tokens, write_tokens
 from runlake.llm.vector_dedup import near_vectors
 
@@ -70,6 +71,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), words=50).select("doc_id", "start_word", "n_words")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), limit=1024)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
