@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.llm import toxicity
+from runlake.llm.alignment import align
 from runlake.llm.exact_dedup import exact_groups
 from runlake.llm.language_id import fit, predict
 from runlake.llm.minhash import near_duplicates
@@ -17,6 +18,7 @@ from runlake.llm.suffix_dedup import repeated_passages
 from runlake.llm.token_counts import token_counts
 from runlake.llm.token_store import read_tokens, write_tokens
 from runlake.llm.vector_dedup import near_vectors
+from runlake.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), words=50).select("doc_id", "start_word", "n_words")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
