@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.sources.raw import copy_table, scan_snapshots, with_provenance
+from runlake.sources.raw import copy_table, scan_snapshots
 
 TECHNICAL = ("_ingested_at", "_source_file")
 #: Columns of the gold tables, in their order.
@@ -52,8 +52,7 @@ def newest_by_key(df: DataFrame, keys: Sequence[str], newest: Column | None = No
 
 def bronze(spark: SparkSession, raw: str, table: str, since: date | None = None) -> DataFrame:
     """All snapshots of a table with their day, time of load and file."""
-    found = spark.read.option("basePath", f"{raw}/{table}").parquet(f"{raw}/{table}")
-    return with_provenance(found).withColumn("_ingest_date", F.make_date("yyyy", "MM", "dd")).drop("yyyy", "MM", "dd")
+    return scan_snapshots(spark, raw, table, since, provenance=True)
 
 
 def dim_customer(customer: DataFrame) -> DataFrame:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from runlake.sources.lattice import converted, merged
+
+#: The folders' names.
+DAY = StructType([StructField(c, IntegerType()) for c in ("yyyy", "MM", "dd")])
 
 
 def source_tables(listing: DataFrame, schema: str | None = None) -> DataFrame:
@@ -41,15 +48,43 @@ def copy_tables(tables: dict[str, Callable[[], DataFrame]], base: str, day: date
         return dict(zip(tables, pool.map(one, tables)))
 
 
-def scan_snapshots(spark: SparkSession, base: str, table: str, since: date | None = None) -> DataFrame:
-    """All snapshots of a table, or those of ``since`` and later, with _ingest_date; other days' files are not opened."""
-    found = spark.read.option("basePath", f"{base}/{table}").parquet(f"{base}/{table}")
-    day = F.make_date("yyyy", "MM", "dd")
-    if since:
-        y, m, d = since.year, since.month, since.day
-        later = (F.col("yyyy") > y) | ((F.col("yyyy") == y) & ((F.col("MM") > m) | ((F.col("MM") == m) & (F.col("dd") >= d))))
-        found = found.where(later)
-    return found.withColumn("_ingest_date", day).drop("yyyy", "MM", "dd")
+def days_of(spark: SparkSession, base: str, table: str) -> dict[date, str]:
+    """The folder of each day of a table, by names alone; nothing is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{table}/yyyy=*/MM=*/dd=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    folders = [f.getPath().toString() for f in found if f.isDirectory()]
+    return {date(*[int(part.split("=")[1]) for part in f.split("/")[-3:]]): f for f in sorted(folders)}
+
+
+def scan_snapshots(spark: SparkSession, base: str, table: str, since: date | None = None, provenance: bool = False) -> DataFrame:
+    """All snapshots of a table, or those of ``since`` and later, with _ingest_date; other days' files are not opened.
+
+    Days may have different columns and types: the result has the columns of all days, in the order in
+    which they appear, each of the narrowest type that holds the days' types (``lattice``); a day without a
+    column has null there. Days of one schema share a reader, which does its own pruning. A day with two
+    schemas is read by that of one of its files. ``provenance`` adds _ingested_at and _source_file.
+    """
+    days = {d: f for d, f in days_of(spark, base, table).items() if since is None or d >= since}
+    if not days and since is not None:
+        return scan_snapshots(spark, base, table, None, provenance).where(F.lit(False))
+    if not days:
+        return spark.read.parquet(f"{base}/{table}")  # an error that names the path
+    groups: dict[str, tuple[StructType, list[date]]] = {}
+    for day, folder in sorted(days.items()):
+        schema = spark.read.parquet(folder).schema  # one footer
+        groups.setdefault(schema.json(), (schema, []))[1].append(day)
+    wanted = reduce(merged, [schema for schema, _ in groups.values()])
+    parts = []
+    for schema, own in groups.values():
+        whole = len(groups) == 1 and since is None
+        paths = [f"{base}/{table}"] if whole else [days[d] for d in own]
+        found = spark.read.schema(StructType([*schema.fields, *DAY.fields])).option("basePath", f"{base}/{table}").parquet(*paths)
+        found = with_provenance(found) if provenance else found
+        extra = ["_ingested_at", "_source_file"] * provenance
+        have = {f.name.lower(): f for f in schema.fields}
+        columns = [converted(F.col(f"`{have[f.name.lower()].name}`"), have[f.name.lower()].dataType, f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType) for f in wanted.fields]
+        parts.append(found.select(*[c.alias(f.name) for c, f in zip(columns, wanted.fields)], *extra, F.make_date("yyyy", "MM", "dd").alias("_ingest_date")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
