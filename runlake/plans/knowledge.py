@@ -1,28 +1,16 @@
-"""The knowledge base: documents of three kinds, vectors, exact search, context and diagnosis texts.
+"""The knowledge base: documents of three kinds, context and diagnosis texts.
 
-Search compares every query with every document, in blocks: vectors are normalised once, a block of
-queries meets a block of documents as one matrix product in a task, and each block keeps its best k.
-Block sizes change nothing in the result. Scores are rounded to three digits for display only; hits are
-ranked by the full score, then by id.
+Vectors are made in ``vectors``, and searched in ``search``.
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from runlake.functions.text import stem
 from runlake.schemas import CATEGORIES, DIAGNOSIS
 
-#: Rows of a block of queries and of documents.
-QUERY_BLOCK, DOC_BLOCK = 512, 4096
-
 
 def text_docs(files: DataFrame) -> DataFrame:
     """id, document, source, type from whole text files (path, text)."""
@@ -37,16 +25,25 @@ def rule_docs(files: DataFrame) -> DataFrame:
     return each.select(F.concat(F.lit("error_pattern_"), stem(F.col("path")), F.lit("_"), F.col("i").cast("string")).alias("id"), "document", F.col("path").alias("source"), F.lit("error_pattern").alias("type"))
 
 
-def incident_docs(incidents: DataFrame) -> DataFrame:
+def broken_rules(files: DataFrame) -> DataFrame:
+    """path and text of the JSON files that do not parse; a list that does not gives no documents."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    as_list, as_value = F.from_json(text, "array<string>"), F.from_json(text, "map<string,string>")
+    bad = F.when(text.startswith("["), as_list.isNull()).when(text.startswith("{"), as_value.isNull()).otherwise(True)
+    return files.where(bad).select("path", "text")
+
+
+def incident_docs(incidents: DataFrame, versioned: bool = False) -> DataFrame:
     """Resolved incidents as documents; the id hashes the error text alone, so the newest incident of a text wins.
 
-    Missing texts count as empty. Equal times go to the greater run_id.
+    Missing texts count as empty. Equal times go to the greater run_id. ``versioned`` keeps that order as version.
     """
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     lines = F.concat(F.lit("Pipeline: "), part("pipeline_name"), F.lit("\nError: "), part("error_message"), F.lit("\nRoot Cause: "), part("root_cause"), F.lit("\nResolution: "), part("resolution"))
     ident = F.concat(F.lit("incident_"), F.substring(F.md5(part("error_message")), 1, 12))
     docs = incidents.select(ident.alias("id"), lines.alias("document"), F.lit("incident_history").alias("source"), F.lit("resolved_incident").alias("type"), F.struct("timestamp", "run_id").alias("version"))
-    return upsert(docs, "version").drop("version")
+    found = upsert(docs, "version")
+    return found if versioned else found.drop("version")
 
 
 def upsert(docs: DataFrame, version: str) -> DataFrame:
@@ -63,55 +60,6 @@ def corpus(*kinds: DataFrame) -> DataFrame:
     return upsert(out, "version").drop("version")
 
 
-def vectorise(docs: DataFrame, text: str = "document", features: int = 4096) -> DataFrame:
-    """Adds embedding: hashed words weighted by rarity, of length 1 (or 0 for texts without words)."""
-    words = Tokenizer(inputCol="_text", outputCol="_words").transform(docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_idf", "_unit")
-
-
-def search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, id, score, rank: the k documents of highest cosine of every query, exactly.
-
-    ``queries`` (query_id, embedding) and ``docs`` (id, embedding) may both be large: both are dealt to
-    blocks by hash, and every pair of blocks is one matrix product. Vectors without a direction, or of
-    another length than the query's, score 0.
-    """
-
-    def blocks(df: DataFrame, ident: str, size: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // size))
-        return df.select(F.col(ident).alias(ident), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("block")), n
-
-    q, nq = blocks(queries, "query_id", QUERY_BLOCK)
-    d, nd = blocks(docs, "id", DOC_BLOCK)
-    left = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))).select(F.col("block").alias("i"), "j", "query_id", "v")
-    right = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("i", F.col("block").alias("j"), "id", "v")
-
-    def unit(column: pd.Series, width: int) -> np.ndarray:
-        out = np.zeros((len(column), width))
-        for row, x in enumerate(column):
-            if x is not None and len(x) == width and np.isfinite(y := np.asarray(x, float)).all() and (norm := np.sqrt(y @ y)):
-                out[row] = y / norm
-        return out
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        a, b = a.sort_values("query_id"), b.sort_values("id")
-        width = max([len(x) for x in a["v"] if x is not None], default=0)
-        cosine = unit(a["v"], width) @ unit(b["v"], width).T
-        order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "id": b["id"].to_numpy()[order.ravel()], "score": cosine[rows, order.ravel()]})
-
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def context(hits: DataFrame, docs: DataFrame, queries: DataFrame, top: int = 3, chars: int = 500) -> DataFrame:
     """query_id and context: the first ``top`` hits with source, score and the first characters, or a fixed sentence."""
     text = F.concat(F.lit("**Source**: "), "source", F.lit(" (relevance: "), F.format_string("%.3f", F.round("score", 3)), F.lit(")\n"), F.left(F.col("document"), F.lit(chars)), F.lit("\n---"))

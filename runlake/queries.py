@@ -7,14 +7,16 @@ QUERIES maps a name to a function of (spark, sf_dir); ORACLE maps most names to
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake import views
-from runlake.operators import classify, incidents as inc, policy, runs as ops
-from runlake.plans import knowledge as kb, medallion as med
+from runlake.operators import budget, classify, incidents as inc, policy, rollup, rule_index, runs as ops
+from runlake.plans import knowledge as kb, medallion as med, vectors
+from runlake.plans.search import search
+from runlake.plans.store import Store
 from runlake.schemas import ERROR_RULES, ESCALATION, PHRASE_RULES
 from runlake.sources import raw, records
 from runlake.storage import new_path
@@ -33,7 +35,8 @@ def query(sql: str | None = None, views_too: bool = True):
         if sql is not None:
             body = sql.strip()
             if views_too:
-                body = f"WITH {views.duckdb_views()}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views.duckdb_views()} {body}"
+                with_ = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), None)
+                body = f"{with_}{views.duckdb_views()}, {body[len(with_):]}" if with_ else f"WITH {views.duckdb_views()} {body}"
             ORACLE[f.__name__] = body
         return f
 
@@ -91,6 +94,22 @@ def raw_scan_since(spark, sf_dir):
     return raw.scan_snapshots(spark, base, "orders", date(2024, 1, 31))
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, CAST(o_orderkey % 100 AS BIGINT) AS batch, DATE '2024-01-30' AS _ingest_date FROM orders
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, NULL, DATE '2024-01-31' FROM orders
+    UNION ALL SELECT o_orderkey, NULL, o_orderstatus, o_totalprice, o_orderdate, NULL, o_orderkey + 5000000000, DATE '2024-02-01' FROM orders""",
+    views_too=False,
+)
+def raw_scan_evolved(spark, sf_dir):
+    """Three days: a column more and one less, narrow numbers that widen, a date that becomes a time."""
+    base, o = new_path(spark, "raw"), table(spark, sf_dir, "orders")
+    raw.copy_table(o.drop("o_orderstatus").withColumn("batch", (F.col("o_orderkey") % 100).cast("int")), base, "orders", date(2024, 1, 30))
+    raw.copy_table(o.withColumn("o_totalprice", F.col("o_totalprice").cast("double")), base, "orders", date(2024, 1, 31))
+    raw.copy_table(o.drop("o_custkey", "o_orderpriority").withColumn("batch", F.col("o_orderkey") + 5000000000), base, "orders", date(2024, 2, 1))
+    found = raw.scan_snapshots(spark, base, "orders")
+    return found.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "batch", "_ingest_date")
+
+
 @query("SELECT c_custkey, true AS has_time, true AS from_table FROM customer", views_too=False)
 def bronze_provenance(spark, sf_dir):
     found = raw.with_provenance(table(spark, sf_dir, "customer"))
@@ -117,12 +136,14 @@ def load_report(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """The incidents as JSON lines, with a blank and a broken line after each."""
-    good = views.incidents(spark, sf_dir).select(F.to_json(F.struct(*_columns(INCIDENT)), {"ignoreNullFields": "false", **records.LOG_TIME}).alias("value"))
-    return good.withColumn("value", F.explode(F.array("value", F.lit("  "), F.left("value", F.lit(25)))))
+    """The incidents as JSON lines, after each one without a run id (absent or null), a blank, a broken one and one that is no object."""
+    line = lambda names, nulls: F.to_json(F.struct(*names), {"ignoreNullFields": nulls, **records.LOG_TIME})
+    nameless = [F.lit(None).cast("string").alias(c) if c == "run_id" else F.col(c) for c in _columns(INCIDENT)]
+    good = views.incidents(spark, sf_dir).select(line(_columns(INCIDENT), "false").alias("value"), F.when(F.col("success"), line(nameless, "false")).otherwise(line(nameless, "true")).alias("nameless"))
+    return good.select(F.explode(F.array("value", "nameless", F.lit("  "), F.left("value", F.lit(25)), F.concat(F.lit("["), "value", F.lit("]")))).alias("value"))
 
 
-@query(f"SELECT {INCIDENT} FROM i")
+@query(f"SELECT {INCIDENT} FROM i UNION ALL SELECT {INCIDENT.replace('run_id, workspace', 'NULL, workspace')} FROM i")
 def incident_log_read(spark, sf_dir):
     return records.incidents_from_lines(_lines(spark, sf_dir))
 
@@ -264,6 +285,27 @@ def classify_phrases(spark, sf_dir):
     return classify.classify_phrases(texts).select("doc_id", "phrase_id", "phrase_category", "phrase_fixable", "wait_minutes")
 
 
+UNIT_TEXT = "coalesce(error_message, '') || ' in unit-' || CAST(event_id % (SELECT 2 * count(*) FROM customer) AS VARCHAR) || CASE WHEN event_id % 3 = 0 THEN '-low' ELSE '-high' END"
+
+
+@query(
+    f"""WITH t AS (SELECT run_id, {UNIT_TEXT} AS m, event_id, coalesce(error_code, '') AS k FROM r WHERE {STATUS} = 'Failed'),
+    u AS (SELECT t.run_id, min(c_custkey) AS rule_id FROM t JOIN customer ON contains(m || ' ' || k, 'unit-' || CAST(c_custkey AS VARCHAR) || '-low ') OR contains(m || ' ' || k, 'unit-' || CAST(c_custkey AS VARCHAR) || '-high ') GROUP BY 1),
+    g AS (SELECT run_id, 1000000000 + {_case(ERROR_RULES, lambda x: f"regexp_matches(m || ' ' || k, '{x[0]}')", lambda i, x: i, 'NULL')} AS rule_id FROM t)
+    SELECT t.run_id, CAST(coalesce(u.rule_id, g.rule_id) AS BIGINT) AS rule_id, CASE WHEN u.rule_id IS NOT NULL THEN lower(c_mktsegment) ELSE coalesce({_case(ERROR_RULES, lambda x: f"regexp_matches(m || ' ' || k, '{x[0]}')", lambda i, x: f"'{x[1]}'", 'NULL')}, 'unknown') END AS error_category
+    FROM t JOIN g USING (run_id) LEFT JOIN u USING (run_id) LEFT JOIN customer ON c_custkey = u.rule_id"""
+)
+def classify_by_index(spark, sf_dir):
+    """A rule for each customer, as a unit that errors name, before the nine general ones."""
+    customer = table(spark, sf_dir, "customer")
+    own = customer.select(F.col("c_custkey").cast("long").alias("rule_id"), F.concat(F.lit("unit-"), F.col("c_custkey").cast("string"), F.lit("-(?:low|high) ")).alias("error_pattern"), F.lower("c_mktsegment").alias("category"), F.lit(True).alias("is_auto_fixable"))
+    general = spark.createDataFrame([(10**9 + i, *x) for i, x in enumerate(ERROR_RULES)], "rule_id long, error_pattern string, category string, is_auto_fixable boolean")
+    units = customer.agg((2 * F.count("*")).alias("units"))  # one row
+    unit = F.concat(F.lit(" in unit-"), (F.col("event_id") % F.col("units")).cast("string"), F.when(F.col("event_id") % 3 == 0, "-low").otherwise("-high"))
+    failed = _failed(spark, sf_dir).join(F.broadcast(units)).withColumn("error_message", F.concat(F.coalesce("error_message", F.lit("")), unit))
+    return rule_index.classify_by_table(failed, own.unionByName(general)).select("run_id", "rule_id", "error_category")
+
+
 def _route(k):
     return f"CASE error_category {' '.join(f"WHEN '{x[0]}' THEN '{x[k]}'" for x in ESCALATION)} END"
 
@@ -306,6 +348,35 @@ def retry_once_policy(spark, sf_dir):
     return policy.retry_once(judged.join(starts, "run_id").select("run_id", "pipeline_id", "start_time", "outcome")).select("run_id", "pipeline_id", "outcome", "escalate")
 
 
+ATTEMPTS = f"""j AS (SELECT c.run_id, c.pipeline_id, c.start_time, CASE {STATUS} WHEN 'Succeeded' THEN true WHEN 'Failed' THEN false WHEN 'Cancelled' THEN false END AS outcome
+      FROM c LEFT JOIN r ON r.run_id = 'run-' || CAST(c.n + 1 AS VARCHAR))"""
+#: Row by row: what an attempt that was made comes to decides what the next run of the pipeline finds.
+STEPS = """n AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY start_time, kind, run_id) AS rn FROM e),
+    s AS (SELECT *, 0 AS used FROM n WHERE rn = 1 UNION ALL
+      SELECT n.*, CASE WHEN s.kind = 0 THEN 0 WHEN s.used = {budget} OR s.outcome IS NULL THEN s.used WHEN s.outcome THEN 0 ELSE s.used + 1 END FROM s JOIN n ON n.pipeline_id = s.pipeline_id AND n.rn = s.rn + 1)
+    SELECT run_id, pipeline_id, outcome, CAST(used AS INTEGER) AS used, used = {budget} AS escalate FROM s WHERE kind = 1"""
+
+
+def _attempts(spark, sf_dir):
+    """Every failed run with what its rerun, the next run by number, came to."""
+    c = views.candidates(spark, sf_dir).withColumn("new_run_id", F.concat(F.lit("run-"), (F.col("n") + 1).cast("string"))).withColumn("timestamp", F.col("start_time"))
+    return policy.rerun_outcome(c, _runs(spark, sf_dir), verify_seconds=None).select("run_id", "pipeline_id", "start_time", "outcome")
+
+
+@query(f"WITH RECURSIVE {ATTEMPTS}, e AS (SELECT *, 1 AS kind FROM j), {STEPS.format(budget=2)}")
+def retry_budget_policy(spark, sf_dir):
+    return budget.with_resets(_attempts(spark, sf_dir), 2).select("run_id", "pipeline_id", "outcome", "used", "escalate")
+
+
+@query(
+    f"""WITH RECURSIVE {ATTEMPTS}, e AS (SELECT *, 1 AS kind FROM j UNION ALL SELECT NULL, pipeline_id, end_time, NULL, 0 FROM r WHERE raw_status = 'Succeeded'), {STEPS.format(budget=2)}"""
+)
+def retry_budget_resets(spark, sf_dir):
+    """A run of the pipeline that succeeds by itself makes its budget whole."""
+    succeeded = _runs(spark, sf_dir).where("status = 'Succeeded'").select("pipeline_id", "end_time")
+    return budget.with_resets(_attempts(spark, sf_dir), 2, succeeded).select("run_id", "pipeline_id", "outcome", "used", "escalate")
+
+
 @query(
     f"""SELECT cycle_start, run_id, pipeline_id, start_time FROM (SELECT *, time_bucket(INTERVAL '5' MINUTE, start_time) AS cycle_start,
     row_number() OVER (PARTITION BY pipeline_id, time_bucket(INTERVAL '5' MINUTE, start_time) ORDER BY start_time DESC, run_id DESC) AS rn FROM r WHERE {STATUS} = 'Failed') WHERE rn = 1"""
@@ -460,6 +531,40 @@ def sla_attainment(spark, sf_dir):
     return inc.sla(views.incidents(spark, sf_dir), _runs(spark, sf_dir))
 
 
+FIX = f"""f AS (SELECT i.error_category, CAST(s.start_time AS DATE) AS day, CAST({SECONDS.format(a='s.start_time', b='e.end_time')} AS BIGINT) AS fix
+      FROM i JOIN r s ON i.run_id = s.run_id JOIN r e ON i.new_run_id = e.run_id WHERE e.end_time IS NOT NULL)"""
+RANKS = "CAST(quantile_disc(fix, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(fix, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(fix, 0.99) AS BIGINT) AS p99"
+
+
+def _fix_seconds(spark, sf_dir):
+    starts = views.runs(spark, sf_dir).select("run_id", "start_time")
+    ends = views.runs(spark, sf_dir).where("end_time is not null").select(F.col("run_id").alias("new_run_id"), "end_time")
+    both = views.incidents(spark, sf_dir).join(starts, "run_id").join(ends, "new_run_id")
+    return both.select("error_category", F.to_date("start_time").alias("day"), rollup.whole_seconds("start_time", "end_time").alias("fix"))
+
+
+@query(f"WITH {FIX} SELECT error_category, day, count(*) AS n, {RANKS} FROM f GROUP BY ALL")
+def sla_percentiles(spark, sf_dir):
+    return rollup.percentiles(rollup.sketches(_fix_seconds(spark, sf_dir), ["error_category", "day"], "fix"))
+
+
+@query(f"WITH {FIX} SELECT error_category, count(*) AS n, {RANKS} FROM f GROUP BY ALL")
+def sla_percentiles_merged(spark, sf_dir):
+    """By category from the sketches by category and day, without a second look at incidents."""
+    daily = rollup.sketches(_fix_seconds(spark, sf_dir), ["error_category", "day"], "fix")
+    return rollup.percentiles(rollup.merged_up(daily, ["error_category"]))
+
+
+@query(
+    """WITH d AS (SELECT CAST(timestamp AS DATE) AS day, pipeline_name FROM i), a AS (SELECT DISTINCT day AS anchor FROM d), s AS (SELECT unnest([1, 7, 14, 30]) AS days)
+    SELECT anchor, CAST(days AS INTEGER) AS days, count(DISTINCT pipeline_name) AS pipelines FROM a, s JOIN d ON day <= anchor AND day > anchor - CAST(days AS INTEGER) GROUP BY ALL"""
+)
+def distinct_pipelines_by_span(spark, sf_dir):
+    i = views.incidents(spark, sf_dir)
+    names = rollup.dictionary(i, "pipeline_name")
+    return rollup.distinct_over_spans(rollup.daily_bitmaps(i, names, "pipeline_name"), (1, 7, 14, 30), "pipelines")
+
+
 # ---------------------------------------------------------------- medallion
 
 
@@ -502,10 +607,11 @@ def dim_customer(spark, sf_dir):
     return med.dim_customer(old.unionByName(c.withColumn("_ingest_date", F.lit(date(2024, 2, 1)))))
 
 
-@query("SELECT s_suppkey AS ProductID, s_name AS Name, s_acctbal AS ListPrice, n_name AS CategoryName FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20", views_too=False)
+@query("SELECT s_suppkey AS ProductID, s_name AS Name, s_acctbal AS ListPrice, n_name AS CategoryName FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_suppkey % 5 <> 0", views_too=False)
 def dim_product(spark, sf_dir):
-    product = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ProductID"), F.col("s_name").alias("Name"), F.col("s_acctbal").alias("ListPrice"), F.col("s_nationkey").alias("ProductCategoryID"))
-    category = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("ProductCategoryID"), F.col("n_name").alias("Name"))
+    known = F.when(F.col("s_suppkey") % 5 == 0, -1).otherwise(F.col("s_nationkey"))  # some products of a category that is missing
+    product = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ProductID"), F.col("s_name").alias("Name"), F.col("s_acctbal").alias("ListPrice"), known.alias("ProductCategoryID"))
+    category = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ProductCategoryID"), F.col("n_name").alias("Name"))
     return med.dim_product(product.unionByName(product), category)
 
 
@@ -525,10 +631,14 @@ def fact_salesorder(spark, sf_dir):
     return med.fact_sales(_detail(spark, sf_dir), _header(spark, sf_dir))
 
 
-@query("SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2", views_too=False)
+LINE = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {LINE} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(f'{c} DESC' for c in _columns(LINE))}) AS rn FROM lineitem) WHERE rn = 1", views_too=False)
 def dedup_by_key(spark, sf_dir):
-    kept = med.newest_by_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_shipdate"))
-    return kept.select("l_orderkey", "l_linenumber", "l_shipdate")
+    """The newest row of a key, whole; among equal dates the greatest by the other columns, in their order."""
+    kept = med.newest_by_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], F.struct(*_columns(LINE)))
+    return kept.select("l_orderkey", "l_linenumber", *_columns(LINE))
 
 
 @query(FACT.format(lineitem="(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem)"), views_too=False)
@@ -586,19 +696,47 @@ def kb_upsert(spark, sf_dir):
 
 @query()
 def kb_vectorise(spark, sf_dir):
-    found = kb.vectorise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = vectors.vectorise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return found.select("doc_id", F.size("embedding").alias("length"), F.round(norm, 4).alias("norm"))
 
 
-HITS = """q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE label = 0), s AS (SELECT query_id, vec_id AS id,
+@query()
+def kb_term_weights(spark, sf_dir):
+    """Every text's sparse row: its hashed words and their weights."""
+    found = vectors.sparse(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.posexplode("indices").alias("at", "term"), "weights").select("doc_id", "term", F.round(F.get("weights", "at"), 9).alias("weight"))
+
+
+@query()
+def kb_text_search(spark, sf_dir):
+    """Texts searched by meaning end to end: every hundredth text against all, by their leading directions."""
+    found = vectors.text_vectors(table(spark, sf_dir, "documents").where("doc_id is not null"), "doc_id", "text")
+    path = new_path(spark, "text-vectors")
+    found.write.parquet(path)
+    v = spark.read.parquet(path)
+    hits = search(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v.select(F.col("doc_id").alias("id"), "embedding"))
+    return hits.select("query_id", "id", F.round("score", 3).alias("score"), "rank")
+
+
+@query("SELECT source AS id, CAST(max(doc_id) AS BIGINT) AS version, arg_max(text, doc_id) AS document FROM documents GROUP BY source", views_too=False)
+def kb_store(spark, sf_dir):
+    """Merged in four batches, of which one comes twice; read as one version."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("version"), F.col("text").alias("document"))
+    store = Store(spark, new_path(spark, "store"), compact=2)
+    for number, part in enumerate((0, 1, 1, 2, 3)):
+        store.merge(docs.where(F.pmod("version", F.lit(4)) == part), number)
+    return store.read()
+
+
+HITS = """q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id,
       list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS score FROM q, embeddings e),
     h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
 
 def _hits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return kb.search(e.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"))
+    return search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"))
 
 
 @query(f"WITH {HITS} SELECT query_id, id, CAST(round(score, 3) AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 5", views_too=False)
@@ -659,12 +797,20 @@ def diagnosis_parse(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-def _by_span(spark, sf_dir, f, spans=3):
+#: A run far in the future: it moves the event time on, so that what waits is decided. Its rows are left out.
+BEAT, BEAT_AT = 10**12, datetime(2100, 1, 1)
+
+
+def _by_span(spark, sf_dir, f, spans=3, order="ts", beat=False):
     """Lands the events span by span and lets ``f`` (runs as a stream, base) go on from its checkpoint after each."""
     landed, base = new_path(spark, "landed"), new_path(spark, "stream")
+    events = table(spark, sf_dir, "events").withColumn("arrival", F.expr(order))
     for i in range(spans):
-        streams.land(table(spark, sf_dir, "events"), landed, "ts", i, spans)
+        streams.land(events, landed, "arrival", i, spans)
         out = f(ops.with_status(spark.sql(views.RUNS, events=streams.arrived(spark, landed))), base)
+    if beat:
+        streams.beat(spark, landed, event_id=F.lit(BEAT), ts=F.lit(BEAT_AT), user_id=F.lit(-1), event_type=F.lit("error"))
+        out = f(ops.with_status(spark.sql(views.RUNS, events=streams.arrived(spark, landed))), base).where(F.col("run_id") != f"run-{BEAT}")
     return out
 
 
@@ -687,16 +833,39 @@ def stream_dedup(spark, sf_dir):
     return _by_span(spark, sf_dir, lambda r, base: streams.once_each(r.withColumn("again", twice), base)).select(*_columns(RUN))
 
 
+@query(f"SELECT {RUN}, raw_status, {STATUS} AS status FROM r")
+def stream_quarantine(spark, sf_dir):
+    """The second batch fails, the third goes on, and the second is replayed."""
+    bases, calls = set(), []
+
+    def check(rows):
+        calls.append(rows)
+        if len(calls) == 2:
+            raise ValueError("a poisoned batch")
+
+    def step(r, base):
+        bases.add(base)
+        return streams.ingest_tolerant(r.drop("event_id"), base, check)
+
+    _by_span(spark, sf_dir, step)
+    (base,) = bases
+    streams.replay(spark, base, lambda rows, batch: streams.put(rows, base, "runs", batch))
+    return streams.all_of(spark, base, "runs")
+
+
 @query(f"{POLICY} SELECT {DECISION} FROM p")
 def stream_retry_policy(spark, sf_dir):
-    found = _by_span(spark, sf_dir, lambda r, base: streams.retry_decisions(_candidates(spark, r), base))
-    return found.select("run_id", "pipeline_id", "start_time", "action_taken", "success", "retry_count")
+    """Runs arrive up to two days late, so that batches overlap in time."""
+    late = "ts + make_dt_interval(CAST(event_id % 3 AS INT))"
+    return _by_span(spark, sf_dir, lambda r, base: streams.retry_decisions(_candidates(spark, r), base, "3 days"), order=late, beat=True)
 
 
-@query(f"SELECT i.run_id, i.new_run_id, {OUTCOME.format(timely="r.end_time <= i.timestamp + INTERVAL '100' SECOND")} FROM i LEFT JOIN r ON i.new_run_id = r.run_id")
+@query(
+    f"""SELECT i.run_id, i.new_run_id, i.timestamp, {OUTCOME.format(timely='r.run_id IS NOT NULL')} FROM i
+    LEFT JOIN r ON i.new_run_id = r.run_id AND {STATUS} <> 'Running' AND r.end_time BETWEEN i.timestamp - INTERVAL '2' DAY AND i.timestamp + INTERVAL '100' SECOND"""
+)
 def stream_rerun_outcome(spark, sf_dir):
-    asked = views.incidents(spark, sf_dir)
-    return _by_span(spark, sf_dir, lambda r, base: streams.outcomes(r, asked, base, 100)).select("run_id", "new_run_id", "outcome")
+    return _by_span(spark, sf_dir, lambda r, base: streams.outcomes(_incidents(spark, r), r, base, "1 hour", "2 days"), beat=True)
 
 
 @query(f"SELECT {INCIDENT} FROM i")
@@ -704,9 +873,13 @@ def stream_audit(spark, sf_dir):
     return records.read_incidents(spark, _by_span(spark, sf_dir, lambda r, base: streams.audit(_results(_incidents(spark, r)), base)))
 
 
-@query(f"SELECT {RUN} FROM r WHERE {STATUS} = 'Failed' AND end_time >= (SELECT max(end_time) FROM r) - INTERVAL '60' MINUTE")
+@query(
+    f"""WITH x AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events), b AS (SELECT r.*, CASE WHEN epoch_us(start_time) < a + (b - a) / 3 THEN 0 WHEN epoch_us(start_time) < a + 2 * (b - a) / 3 THEN 1 ELSE 2 END AS span FROM r, x)
+    SELECT {RUN} FROM (SELECT *, max(end_time) OVER (PARTITION BY span) AS anchor FROM b) WHERE {STATUS} = 'Failed' AND end_time >= anchor - INTERVAL '60' MINUTE"""
+)
 def stream_lookback(spark, sf_dir):
-    return _by_span(spark, sf_dir, lambda r, base: streams.recent_failures(r, base, 60), spans=1).select(*_columns(RUN))
+    """Three batches, each against its own newest end."""
+    return _by_span(spark, sf_dir, lambda r, base: streams.recent_failures(r, base, 60)).select(*_columns(RUN))
 
 
 @query("SELECT CAST(timestamp AS DATE) AS date, error_category, count(*) AS n FROM i GROUP BY 1, 2")

@@ -42,12 +42,13 @@ def ingest_runs(records: DataFrame, anchor: Column) -> tuple[DataFrame, DataFram
 
 
 def incidents_from_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Incidents from JSON lines; blank lines, broken ones and those without a valid time go.
+    """Incidents from JSON lines; blank lines, broken ones, those that hold no object and those without a valid time go.
 
+    An incident without a run id stays, with a null one.
     is_auto_fixable may be a boolean or a number: true and numbers other than 0 are true.
     """
-    parsed = lines.where(F.trim(F.col(value)) != "").select(F.from_json(value, INCIDENT_LOG, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("i")).select("i.*")
-    clean = parsed.where(F.col("_corrupt_record").isNull() & F.col("run_id").isNotNull()).drop("_corrupt_record")
+    parsed = lines.where(F.trim(F.col(value)).startswith("{")).select(F.from_json(value, INCIDENT_LOG, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("i")).select("i.*")
+    clean = parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     fixable = F.coalesce(F.col("is_auto_fixable").try_cast("boolean"), F.col("is_auto_fixable").try_cast("double") != 0)
     return valid_timestamps(clean.withColumn("is_auto_fixable", fixable))
 
