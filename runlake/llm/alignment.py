@@ -49,7 +49,7 @@ from runlake.llm.shared import stash
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Radix partitions of the B ids; runs of a merge; bytes of text of a chunk; entries read or written at once.
-RADICES, FAN_IN, CHUNK, PIECE = 256, 64, 8 << 20, 4096
+RADICES, FAN_IN, CHUNK, PIECE = 256, 64, 4 << 20, 4096
 #: Bits of an id in a key: (b << BITS) | a.
 BITS = 24
 ENTRY = np.dtype([("key", "<u8"), ("n", "<u8")])
@@ -80,9 +80,8 @@ class Aligner:
         found = self.lookup.pre_tokens(text)
         if found is None:
             return self.lookup.tokenizer.encode(text, add_special_tokens=False).ids
-        known, seen = self.lookup.known, self.lookup.seen
-        self.lookup.learn([p for p in found if p not in known and p not in seen])
-        return list(chain.from_iterable([known.get(p) or seen[p] for p in found]))
+        self.lookup.learn(found)
+        return list(chain.from_iterable(map(self.lookup.table.__getitem__, found)))
 
     def align(self, text: str, b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and of B, and the places in them that end a group; None if the bytes differ."""

@@ -26,10 +26,8 @@ BLOCKS = ((0x0, 0x557), (0x591, 0x85F), (0x900, 0xBFF), (0xE00, 0xE5F), (0x1E00,
 SETTLED = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" if a else f"\\x00-{chr(b)}" for a, b in BLOCKS) + "]*").fullmatch
 #: The pattern that cuts texts, as the tokenizer's file means it.
 PRE_TOKENS = regex.compile(public_tokenizers.PATTERN).findall
-#: A blank and letters: what follows a word in a text of such words is another pre-token.
-BLANK_WORD = regex.compile(r" \p{L}+").fullmatch
 #: Distinct merged pre-tokens that a task remembers, and the longest (characters).
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def byte_of() -> dict[str, int]:
@@ -70,11 +68,16 @@ def prove(path: str = BYTE_BPE) -> dict[str, int]:
 
 
 class ByLookup:
-    """Values of texts' pre-tokens: ``known`` gives those of whole tokens, ``of_ids`` turns merged ids into a value."""
+    """Values of texts' pre-tokens in ``table``: at first those of the whole tokens, ``known``; then also of merged ones.
+
+    ``of_ids`` turns the ids of a merged pre-token into its value. With ``plain_specials`` the strings of
+    special tokens are text like any; else each is a special token, of which ``known`` need not say anything.
+    """
 
     def __init__(self, path: str, plain_specials: bool, known: dict, of_ids: Callable[[list[int]], object]):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
+        self.merge = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cutter, added = spec["pre_tokenizer"], spec["added_tokens"]
@@ -84,15 +87,17 @@ class ByLookup:
             raise ValueError(f"{path} is no byte-level BPE with the usual pattern")
         self.specials = {} if plain_specials else {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.known, self.of_ids, self.seen = known, of_ids, {}
-        self.opens = [x.startswith(b" ") for x in token_bytes(path)]
+        self.letters = {b: c for c, b in byte_of().items()}
+        self.known, self.of_ids = known, of_ids
+        self.start()
 
-    def value(self, pre_token: str):
-        return self.known.get(pre_token) or self.seen[pre_token]
+    def start(self) -> None:
+        self.table, self.long = dict(self.known), []
+        self.table |= {s: self.of_ids([i]) for s, i in self.specials.items()}
 
     def pre_tokens(self, text: str) -> list[str] | None:
         """The pre-tokens of a settled text, special strings among them as they are; else None."""
-        if not SETTLED(text):
+        if not (text.isascii() or SETTLED(text)):
             return None
         if self.cut is None or not self.cut.search(text):
             return PRE_TOKENS(text)
@@ -103,27 +108,16 @@ class ByLookup:
         return out + PRE_TOKENS(text[at:])
 
     def learn(self, pre_tokens: Iterable[str]) -> None:
-        """Merges the pre-tokens that are neither whole tokens nor remembered.
-
-        Words that begin with a blank are merged many at a time, as one text that the pattern cuts back into
-        them: a token whose bytes begin with a blank begins a word.
-        """
-        new = [p for p in set(pre_tokens).difference(self.known) if p not in self.seen]
-        words, rest = [p for p in new if BLANK_WORD(p)], [p for p in new if not BLANK_WORD(p)]
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = self.tokenizer.encode("".join(some), add_special_tokens=False).ids
-            ends = [i for i, t in enumerate(ids) if self.opens[t]] + [len(ids)]
-            if len(ends) == len(some) + 1:
-                self.seen.update((p, self.of_ids(ids[a:b])) for p, a, b in zip(some, ends, ends[1:]))
-            else:
-                rest += some
-        for p in rest:
-            self.seen[p] = self.of_ids(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        """Merges the pre-tokens that are neither whole tokens nor remembered, each within itself."""
+        for p in set(pre_tokens).difference(self.table):
+            self.table[p] = self.of_ids([t.id for t in self.merge(p.encode().decode("latin-1").translate(self.letters))])
+            if len(p) > LONGEST:
+                self.long.append(p)
 
     def forget(self) -> None:
-        """Keeps memory bounded between texts: long pre-tokens go, and all of them when there are too many."""
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        for p in [p for p in self.seen if len(p) > LONGEST]:
-            del self.seen[p]
+        """Keeps memory bounded between texts: long pre-tokens go, and all merged ones when there are too many."""
+        for p in self.long:
+            del self.table[p]
+        self.long = []
+        if len(self.table) > len(self.known) + REMEMBERED:
+            self.start()

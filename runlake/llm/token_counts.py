@@ -41,15 +41,8 @@ def count(texts: Sequence[str | None], lookup: ByLookup) -> list[int]:
         if found is None:
             out.append(len(lookup.tokenizer.encode(text, add_special_tokens=False).ids))
             continue
-        known, seen = lookup.known, lookup.seen
-        rest = [p for p in found if p not in known]
-        if rest:
-            new = [p for p in rest if p not in seen]
-            if new:
-                lookup.learn(new)
-            out.append(len(found) - len(rest) + sum(map(lookup.seen.__getitem__, rest)))
-        else:
-            out.append(len(found))
+        lookup.learn(found)
+        out.append(sum(map(lookup.table.__getitem__, found)))
     lookup.forget()
     return out
 
