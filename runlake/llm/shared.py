@@ -58,11 +58,12 @@ def bounded_sample(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 def with_prefix(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
     """Adds to each row, for each (name, value), the sum of the values of all rows before it in ``order``.
 
-    ``order`` must be total. The rows are range-partitioned by it; each partition has its own running
-    sum, and the totals of the partitions, one row each, give what comes before a partition. Null
-    values count as 0. Columns that start with ``_px`` are taken.
+    The rows are range-partitioned by it; each partition has its own running sum, and the totals of the
+    partitions, one row each, give what comes before a partition. Rows equal in ``order`` follow by their
+    place in the input, so that any number of them is split over partitions like others; then which of
+    them comes first is left open. Null values count as 0. Columns that start with ``_px`` are taken.
     """
-    order = [F.col(x) if isinstance(x, str) else x for x in order]
+    order = [*[F.col(x) if isinstance(x, str) else x for x in order], F.monotonically_increasing_id()]
     keys = [f"_px_k{i}" for i in range(len(order))]
     values = {name: f"_px_v{i}" for i, name in enumerate(sums)}
     own = df.columns

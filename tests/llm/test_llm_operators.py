@@ -90,23 +90,59 @@ def test_exact_groups_without_broadcast(docs, monkeypatch):
     assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == one
 
 
-def test_shards(docs, nothing):
-    found = sharding.byte_shards(docs, 8).collect()
-    assert sorted((r["size"], r["text_crc32"]) for r in found) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in documents())
-    by = collections.defaultdict(list)
+def check_shards(found, rows, shards):
+    assert sorted((r["size"], r["text_crc32"]) for r in found) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    by, group, homes = collections.defaultdict(list), collections.Counter(), collections.defaultdict(set)
     for r in found:
         by[r["shard"]].append(r)
+        group[r["size"], r["text_crc32"]] += r["size"]
+        homes[r["size"], r["text_crc32"]].add(r["shard"])
     assert all(sorted(r["slot"] for r in g) == list(range(len(g))) for g in by.values())
     order = sorted(found, key=lambda r: r["start"])
     assert [r["start"] for r in order] == list(itertools.accumulate([0] + [r["size"] for r in order[:-1]]))
     assert [r["shard"] for r in order] == sorted(r["shard"] for r in order)
-    ids = [r["doc_id"] for r in order if r["doc_id"] is not None]
-    assert ids == sorted(ids) and order[0]["doc_id"] is None
-    total, most = sum(r["size"] for r in found), max(r["size"] for r in found)
-    assert all(abs(sum(r["size"] for r in g) - total / 8) <= most for g in by.values())
+    share = sum(r["size"] for r in found) / shards
+    assert all(len(own) == 1 or group[k] > share * (1 - 1 / sharding.PARTS) for k, own in homes.items())
+    return share, {k: sum(r["size"] for r in g) for k, g in by.items()}, homes
+
+
+def test_shards(docs, nothing):
+    share, sizes, _ = check_shards(sharding.byte_shards(docs, 8).collect(), documents(), 8)
     assert sharding.byte_shards(nothing, 8).count() == 0
 
 
+def test_shards_keep_equal_texts_together_unless_they_exceed_a_share(spark):
+    rng = random.Random(6)
+    rows = [(i, f"t{rng.randrange(700)} " * rng.randint(1, 3), "en", "s") for i in range(1500)]
+    rows += [(2000 + i, "often " * 40, "en", "s") for i in range(20)] + [(3000 + i, "hot text", "en", "s") for i in range(2000)] + [(None, "hot text", "en", "s"), (5000, None, "en", "s"), (5001, "", "en", "s")]
+    share, sizes, homes = check_shards(sharding.byte_shards(frame(spark, rows).repartition(5), 8).collect(), rows, 8)
+    hot = homes[9, zlib.crc32(b"hot text")]
+    assert len(hot) > 1 and sum(len(own) > 1 for own in homes.values()) == 1
+    assert all(abs(size - share) <= 2 * share / sharding.PARTS for size in sizes.values())
+    assert len(homes[1, 0]) == 1  # null and empty texts
+
+
+def test_large_groups_are_placed_first():
+    homes, room = sharding.place([90, 60, 50, 40, 5], 3, 80.0)
+    assert homes == [None, 0, 1, 2, 2] and room == [20.0, 30.0, 35.0]
+
+
+def test_equal_rows_do_not_share_one_range(spark, monkeypatch):
+    """A third of all rows are equal in every column; ranges stay near the mean."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("k"), F.lit(1).alias("v"))
+    taken = []
+    monkeypatch.setattr(shared, "stash", lambda df, tag: taken.append(df) or df)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        total = shared.with_prefix(rows, ["k"], {"before": F.col("v")}).agg(F.countDistinct("before"), F.max("before")).first()
+        assert tuple(total) == (30_000, 29_999)
+        sizes = [r["count"] for r in taken[0].groupBy("_px_p").count().collect()]
+        assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 def filled(sizes, weights, cap):
     """Shares by weight, capped one round after the other."""
     target, open_, rest = {}, dict(zip(sizes, weights)), sum(sizes.values())
