@@ -65,7 +65,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    found = toxicity.score(docs, toxicity.fit(docs.where(~held_out), labels.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
