@@ -15,6 +15,7 @@ interchangeable. An empty table gives an empty result. Further columns are not l
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,9 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     rest = total - sum(r["bytes"] for r, home in zip(large, homes) if home is not None)
     wide = sum(room) or 1.0
     ends = [sum(room[: k + 1]) * rest / wide for k in range(shards - 1)]
-    known = docs.sparkSession.createDataFrame([(*[r[c] for c in KEY], home, home is None) for r, home in zip(large, homes)], "hash long, crc long, size long, home int, split boolean")
+    listed = json.dumps([{**{c: r[c] for c in KEY}, "home": home, "split": home is None} for r, home in zip(large, homes)])
+    schema = "array<struct<hash: long, crc: long, size: long, home: int, split: boolean>>"
+    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), schema)))
     marked = rows.join(F.broadcast(known), KEY, "left")
     units = groups.join(F.broadcast(known), KEY, "left_anti").select(*KEY, F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "bytes", F.lit(False).alias("split"))
     units = units.unionByName(marked.where("split").select(*KEY, "id", F.col("size").alias("bytes"), "split"))
