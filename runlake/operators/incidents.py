@@ -13,6 +13,7 @@ from runlake.functions.text import UUID, chosen, shortened, tenths
 from runlake.schemas import ACTION_LABELS, ALERT_SENT, AUTO_RERUN, CRITICAL, ESCALATION_SECONDS, FIX_SECONDS, MAX_RETRIES, RESPONSE_SECONDS, RETRY_BUDGET, WARNING
 
 ZONE = "Asia/Kolkata"
+#: Columns of the export, in their order.
 EXPORT = ("timestamp", "pipeline_name", "error_category", "action_taken", "success", "retry_count", "confidence_score", "root_cause")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.functions.text import chosen
+from runlake.functions.text import chosen, last_segment
 from runlake.schemas import CANCELLED, FAILED, STATUSES
 
 
@@ -44,10 +44,22 @@ def by_workspace(runs: DataFrame) -> DataFrame:
     return runs.groupBy("workspace_id").agg(F.count("*").alias("new_failures"))
 
 
+#: Fixed value: what stands for a log that there is not.
+NO_LOGS = "No detailed logs available."
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """Adds new_run_id to rerun requests: what follows the last slash of the accepted request's location.
+
+    Without a location, or with one that ends in a slash, the id is null: the rerun is not followed up.
+    """
+    return requests.withColumn("new_run_id", last_segment(F.col("location")))
+
+
 def with_logs(runs: DataFrame, logs: DataFrame) -> DataFrame:
     """Adds log_text of ``logs`` (run_id, log_text); runs without one have the fixed sentence."""
     found = runs.join(logs.select("run_id", "log_text"), "run_id", "left")
-    return found.withColumn("log_text", F.coalesce("log_text", F.lit("No detailed logs available.")))
+    return found.withColumn("log_text", F.coalesce("log_text", F.lit(NO_LOGS)))
 
 
 def run_counts(runs: DataFrame) -> DataFrame:

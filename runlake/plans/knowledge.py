@@ -12,6 +12,10 @@ from runlake.functions.text import stem
 from runlake.schemas import CATEGORIES, DIAGNOSIS
 
 
+#: Heading and empty sentence of a context, cause of a reply that does not parse.
+HEADING, NO_HITS, UNPARSED = "## Relevant Knowledge Base Entries", "No similar past errors found in knowledge base.", "Response parsing failed"
+
+
 def text_docs(files: DataFrame) -> DataFrame:
     """id, document, source, type from whole text files (path, text)."""
     return files.select(F.concat(F.lit("runbook_"), stem(F.col("path"))).alias("id"), F.col("text").alias("document"), F.col("path").alias("source"), F.lit("runbook").alias("type"))
@@ -64,8 +68,8 @@ def context(hits: DataFrame, docs: DataFrame, queries: DataFrame, top: int = 3,
     """query_id and context: the first ``top`` hits with source, score and the first characters, or a fixed sentence."""
     text = F.concat(F.lit("**Source**: "), "source", F.lit(" (relevance: "), F.format_string("%.3f", F.round("score", 3)), F.lit(")\n"), F.left(F.col("document"), F.lit(chars)), F.lit("\n---"))
     few = hits.where(F.col("rank") <= top).join(docs.select("id", "document", "source"), "id").select("query_id", F.struct("rank", text.alias("text")).alias("hit"))
-    joined = few.groupBy("query_id").agg(F.array_sort(F.collect_list("hit")).alias("h")).select("query_id", F.concat(F.lit("## Relevant Knowledge Base Entries\n\n"), F.array_join("h.text", "\n")).alias("context"))
-    return queries.select("query_id").join(joined, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("No similar past errors found in knowledge base.")))
+    joined = few.groupBy("query_id").agg(F.array_sort(F.collect_list("hit")).alias("h")).select("query_id", F.concat(F.lit(f"{HEADING}\n\n"), F.array_join("h.text", "\n")).alias("context"))
+    return queries.select("query_id").join(joined, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_HITS)))
 
 
 def references(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def parse_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
         (~F.col("_bad")).alias("parsed"),
         F.when(F.col("_bad"), "unknown").otherwise(category).alias("error_category"),
         F.when(F.col("_bad"), False).otherwise(F.coalesce("_d.is_auto_fixable", F.lit(False))).alias("is_auto_fixable"),
-        F.when(F.col("_bad"), "Response parsing failed").otherwise(F.coalesce("_d.root_cause", F.lit("Unknown"))).alias("root_cause"),
+        F.when(F.col("_bad"), UNPARSED).otherwise(F.coalesce("_d.root_cause", F.lit("Unknown"))).alias("root_cause"),
         F.when(F.col("_bad"), "Investigate manually").otherwise(F.coalesce("_d.recommended_action", F.lit("Investigate manually"))).alias("recommended_action"),
         F.when(F.col("_bad"), 0.0).otherwise(F.coalesce("_d.confidence_score", F.lit(0.0))).alias("confidence_score"),
     )

@@ -223,6 +223,14 @@ def new_failures_by_workspace(spark, sf_dir):
     return ops.by_workspace(ops.not_handled(_failed(spark, sf_dir), handled))
 
 
+@query("SELECT run_id, CASE WHEN event_id % 4 = 1 OR event_id % 4 = 2 THEN NULL ELSE 'run-' || CAST(event_id + 1 AS VARCHAR) END AS new_run_id FROM r")
+def rerun_ids(spark, sf_dir):
+    """Requests with a location, with an empty last part, without one, and with a bare id."""
+    ident, n = F.concat(F.lit("run-"), (F.col("event_id") + 1).cast("string")), F.col("event_id") % 4
+    location = F.when(n == 0, F.concat(F.lit(f"{BASE_URL}/workspaces/"), "workspace_id", F.lit("/jobs/"), ident)).when(n == 1, F.lit(f"{BASE_URL}/jobs/")).when(n == 3, ident)
+    return ops.accepted(_runs(spark, sf_dir).withColumn("location", location)).select("run_id", "new_run_id")
+
+
 def _logs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("run-"), F.col("doc_id").cast("string")).alias("run_id"), F.col("text").alias("log_text"))
 

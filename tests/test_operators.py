@@ -267,6 +267,11 @@ def test_items_without_a_name(spark):
     assert {r["type"]: r["n"] for r in ops.item_counts(df).collect()} == {"A": 2, "B": 1}
 
 
+def test_accepted_reruns_are_named_by_their_location(spark):
+    df = spark.createDataFrame([("https://x/y/run-7",), ("https://x/y/",), ("run-8",), ("",), (None,)], "location string")
+    assert [r["new_run_id"] for r in ops.accepted(df).collect()] == ["run-7", None, "run-8", None, None]
+
+
 def test_lookback_leaves_out_what_has_not_ended(spark):
     df = spark.createDataFrame([("a", T0), ("b", T0 - dt.timedelta(minutes=61)), ("c", None)], "run_id string, end_time timestamp_ntz")
     assert [r["run_id"] for r in ops.within_minutes(df, 60, F.lit(T0)).collect()] == ["a"]
