@@ -2,12 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents. A stage names rows by their
-place in a file, so that null and repeated ids are rows like others.
+place in a file, so that null and repeated ids are rows like others. Whatever further columns are called,
+with dots, or like names that Spark or a stage uses itself, they come out as they went in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 #: Near duplicates share 80 percent of their shingles of five words.
 SHINGLE_WORDS, PERCENT = 5, 80
 CAPACITY = 4096
+#: Columns that stages look at.
+USED = ("doc_id", "text", "lang", "source")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _own_names(stage: Stage) -> Stage:
+    """``stage`` on documents whose further columns have names that clash with none, under their old names again."""
+
+    @wraps(stage)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in USED else f"other_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(names).toDF(*docs.columns)
+
+    return renamed
 
 
 def _without(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,23 +50,27 @@ def _without(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame
     return rows.join(small(dropped), "_runlake_row", "left_anti").select(columns)
 
 
+@_own_names
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter, and undecided ones, go."""
     return accepted(docs, fit(docs), LEAST_POSTERIOR)
 
 
+@_own_names
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal up to white space, the one of smallest id."""
     rows = numbered(docs)
     return _without(rows, exact_groups(rows, "_runlake_row"), docs.columns)
 
 
+@_own_names
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of near equality connect, the one of smallest id."""
     rows = numbered(docs)
     return _without(rows, near_duplicates(rows, SHINGLE_WORDS, PERCENT, "_runlake_row"), docs.columns)
 
 
+@_own_names
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = numbered(docs)
@@ -64,7 +84,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, CAPACITY)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("exact_dedup", without_copies),
     ("near_dedup", without_near_copies),
