@@ -72,3 +72,20 @@ def test_run_keeps_clean_documents(spark, tiny):
     assert pipeline.known_language(spark, docs, tiny).count() == docs.where(F.col("text").rlike("\\p{L}")).count()
     found = pipeline.run(spark, tiny)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and found.count() > 100
+
+
+def test_columns_named_like_inner_ones_come_out_as_they_went_in(spark):
+    odd = ["_metadata", "_runlake_row", "_copies", "_copy", "a.b", "other_4", "_px_p", "kept", "copies"]
+    rows = documents()[:60]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` {'long' if i % 2 else 'string'}" for i, c in enumerate(odd))
+    data = [(i, t, lang, s, *[n * 100 + k if k % 2 else f"{n}-{k}" for k in range(len(odd))]) for n, (i, t, lang, s) in enumerate(rows)]
+    docs = written(spark, spark.createDataFrame(data, schema).repartition(3))
+    known = {tuple(r) for r in docs.collect()}
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, ""))
+        assert docs.columns == schema_names(schema) and {tuple(r) for r in docs.collect()} <= known and docs.count() > 10
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def schema_names(schema):
+    return [x.strip().rsplit(" ", 1)[0].strip("`") for x in schema.split(",")]
