@@ -46,7 +46,7 @@ def clustered(n=1500, clusters=30, d=12, seed=0, spread=0.05):
     return [(i, (centres[i % clusters] + spread * rng.standard_normal(d)).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("ball, doc_block, query_block, k", [(256, 4096, 4096, 5), (8, 7, 3, 4), (1, 1000, 2, 30)])
+@pytest.mark.parametrize("ball, doc_block, query_block, k", [(256, 4096, 4096, 5), (8, 7, 3, 4)])
 def test_search_is_exact_whatever_the_blocks(spark, monkeypatch, ball, doc_block, query_block, k):
     for name, value in (("BALL", ball), ("DOC_BLOCK", doc_block), ("QUERY_BLOCK", query_block)):
         monkeypatch.setattr(sr, name, value)
