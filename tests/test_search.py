@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -157,3 +158,14 @@ def test_text_search_query_finds_itself_first(spark, tiny):
     first = {r["query_id"]: (r["id"], r["score"]) for r in QUERIES["kb_text_search"](spark, tiny).where("rank = 1").collect()}
     assert set(first) == {i for i in docs if i % 100 == 0}
     assert all(docs[i].lower().split() == docs[q].lower().split() or score == 1.0 for q, (i, score) in first.items() if docs[q].strip())
+
+
+def test_directions_of_long_vectors_take_no_power_of_their_length(spark):
+    """Once each component of a vector cost work by the square of the vector's length: 2,048 of them would not end."""
+    rng = np.random.default_rng(4)
+    docs = [(i, rng.standard_normal(2048).tolist()) for i in range(40)] + [(40, None), (41, [0.0] * 2048), (42, [1.0])]
+    started = time.monotonic()
+    found = {r["id"]: r["v"] for r in sr.directed(frames(spark, [], docs)[1], "id", 2048).collect()}
+    assert time.monotonic() - started < 60
+    assert [found[i] for i in (40, 41, 42)] == [None, None, None]
+    assert all(np.allclose(found[i], np.array(v) / np.linalg.norm(v), atol=1e-12) for i, v in docs[:40])
