@@ -95,7 +95,7 @@ def gram_index(rules: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rule_id", "error_pattern", "size", "gram"])
 
     named = rules.where("error_pattern is not null and rule_id is not null").select(F.col("rule_id").cast("long"), "error_pattern")
-    return named.mapInPandas(parse, "rule_id long, error_pattern string, size int, gram string").dropDuplicates(["rule_id", "error_pattern", "gram"])
+    return named.repartition("rule_id").mapInPandas(parse, "rule_id long, error_pattern string, size int, gram string").dropDuplicates(["rule_id", "error_pattern", "gram"])
 
 
 def _grams_of(text: str, size: int) -> Column:
@@ -107,22 +107,35 @@ def _grams_of(text: str, size: int) -> Column:
 def matched(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """text and rule_id: the lowest rule found in each of the distinct ``texts`` (text); texts without one are left out.
 
-    ``rules`` has rule_id and error_pattern. Broadcasts are counted first.
+    ``rules`` has rule_id and error_pattern. Broadcasts are counted first: the grams of those lengths that
+    are few enough together; the others are joined by shuffle.
     """
     path = new_path(texts.sparkSession, "rule-index")
     gram_index(rules).write.parquet(path)
     index = texts.sparkSession.read.parquet(path)
     listed, open_ = index.where("gram is not null").select("rule_id", "error_pattern", "gram", "size"), index.where("gram is null")
-    sizes = [r["size"] for r in listed.select("size").distinct().collect()]  # at most GRAMS
     rest = [(r["rule_id"], r["error_pattern"]) for r in open_.orderBy("rule_id", "error_pattern").limit(MOST_OPEN + 1).collect()]
     if len(rest) > MOST_OPEN:
         raise ValueError(f"more than {MOST_OPEN} patterns require no literal of {GRAMS[-1]} characters")
+    path = new_path(texts.sparkSession, "rule-texts")
+    texts.select("text", F.xxhash64("text").alias("at")).write.parquet(path)
+    texts = texts.sparkSession.read.parquet(path)
     out = texts.select("text", F.lit(None).cast("long").alias("rule_id")).where(F.lit(False))
-    if sizes:
-        grams = F.array_distinct(F.flatten(F.array(*[_grams_of("text", g) for g in sizes])))
-        each = texts.select("text", F.explode(grams).alias("gram"))
-        pairs = each.join(F.broadcast(listed) if listed.count() <= BROADCAST_GRAMS else listed, "gram")
-        out = out.unionByName(pairs.where(F.rlike("text", F.col("error_pattern"))).select("text", "rule_id"))
+    counts = {r["size"]: r["n"] for r in listed.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most GRAMS
+    few, held = [], 0
+    for size, n in sorted(counts.items(), key=lambda x: x[1]):
+        held += n
+        if held <= BROADCAST_GRAMS:
+            few.append(size)
+    for sizes, hint in ((few, F.broadcast), (sorted(counts.keys() - set(few)), lambda df: df)):
+        if sizes:
+            # numbers stand for texts and grams in the join, so that no text travels once for each of its grams; what
+            # numbers that collide add is a pair more, which the pattern refuses
+            grams = F.array_distinct(F.flatten(F.array(*[F.transform(_grams_of("text", g), lambda x: F.xxhash64(x)) for g in sizes])))
+            each = texts.select("at", F.explode(grams).alias("gram"))
+            own = listed.where(F.col("size").isin(sizes)).select("rule_id", "error_pattern", F.xxhash64("gram").alias("gram"))
+            pairs = each.join(hint(own), "gram").select("at", "rule_id", "error_pattern").join(texts, "at")
+            out = out.unionByName(pairs.where(F.rlike("text", F.col("error_pattern"))).select("text", "rule_id"))
     if rest:
         some = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
         none = F.lit(None).cast("long")

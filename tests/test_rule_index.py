@@ -103,6 +103,17 @@ def test_an_index_too_large_to_broadcast_is_joined(spark, monkeypatch):
     assert {r["error_message"]: r["rule_id"] for r in found.collect()} == {"E0000042a": 42, "none": None}
 
 
+def test_no_text_travels_once_for_each_of_its_grams(spark, monkeypatch):
+    """Of a joined index: what is dealt out for a gram has a number for the text, and equal numbers do no harm."""
+    monkeypatch.setattr(ri, "BROADCAST_GRAMS", 10)
+    texts = spark.createDataFrame([("E0000042a and E0000007a",), ("none",)], "text string")
+    found = ri.matched(texts, spark.createDataFrame(many(100), RULE))
+    assert [(r["text"], r["rule_id"]) for r in found.collect()] == [("E0000042a and E0000007a", 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(gram#\d+L = gram#\d+L\)", plan)  # whole numbers on both sides
+    assert not re.search(r"Project \[text#\d+, gram#", plan)
+
+
 def test_too_many_patterns_without_a_literal_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(ri, "MOST_OPEN", 2)
     df = spark.createDataFrame([("x", None)], RUN)
