@@ -85,7 +85,8 @@ class Aligner:
 
     def align(self, text: str, b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and of B, and the places in them that end a group; None if the bytes differ."""
-        a, raw = self.ids_a(" " + text), (" " + text).encode()
+        spaced = " " + text
+        a, raw = self.ids_a(spaced), spaced.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -96,8 +97,8 @@ class Aligner:
 
     def group_text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group, A's and then B's."""
-        group_a = np.searchsorted(last_a, np.arange(len(a)))
-        group_b = np.searchsorted(last_b, np.arange(len(b)))
+        groups = np.arange(len(last_a))
+        group_a, group_b = (np.repeat(groups, np.diff(last, prepend=-1)) for last in (last_a, last_b))
         place_a = np.arange(len(a)) + np.concatenate([[0], last_b[:-1] + 1])[group_a]
         place_b = np.arange(len(b)) + last_a[group_b] + 1
         codes = np.empty(len(a) + len(b), np.int64)
@@ -129,6 +130,39 @@ def packed(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
 
 
+def _records(keys: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order and where the records of each begin; of each record (key, document) its document and times.
+
+    Where the highest key and document fit 64 bits without the bits that no key uses, one sort of numbers does it.
+    """
+    used = int(np.bitwise_or.reduce(keys)) if len(keys) else 0
+    parts, bits = _fields(used), max(n_docs - 1, 0).bit_length()
+    if sum(n for _, n in parts) + bits > 64:
+        own, which = np.unique(keys, return_inverse=True)
+        record, times = np.unique(which.astype(np.int64) * n_docs + docs, return_counts=True)
+        return own, np.searchsorted(record // n_docs, np.arange(len(own) + 1)), record % n_docs, times
+    tight, to = docs.astype(np.uint64), bits
+    for at, n in parts:
+        tight |= ((keys >> np.uint64(at)) & np.uint64((1 << n) - 1)) << np.uint64(to)
+        to += n
+    tight.sort()
+    starts = np.flatnonzero(np.concatenate([[True], tight[1:] != tight[:-1]])) if len(tight) else np.zeros(0, np.int64)
+    record, times = tight[starts], np.diff(np.append(starts, len(tight)))
+    high = record >> np.uint64(bits)
+    new = np.concatenate([[True], high[1:] != high[:-1]]) if len(high) else np.zeros(0, bool)
+    short, own, to = high[new], np.zeros(int(new.sum()), np.uint64), 0
+    for at, n in parts:
+        own |= ((short >> np.uint64(to)) & np.uint64((1 << n) - 1)) << np.uint64(at)
+        to += n
+    return own, np.append(np.flatnonzero(new), len(record)), (record & np.uint64((1 << bits) - 1)).astype(np.int64), times
+
+
+def _fields(used: int) -> list[tuple[int, int]]:
+    """(place, length) of each of a key's parts (a, b, radix) as far as its bits are used, lowest first."""
+    parts = ((0, BITS), (BITS, BITS), (2 * BITS, 64 - 2 * BITS))
+    return [(at, n) for at, most in parts if (n := ((used >> at) & ((1 << most) - 1)).bit_length())]
+
+
 def runs_of(keys: np.ndarray, docs: np.ndarray, n_docs: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(radix, pairs, records) of a chunk's links: keys and the documents they are in.
 
@@ -136,10 +170,7 @@ def runs_of(keys: np.ndarray, docs: np.ndarray, n_docs: int) -> Iterator[tuple[i
     document of each record, then its times, all as unsigned 32-bit numbers.
     """
     radix = (keys >> np.uint64(BITS)) % np.uint64(RADICES)
-    own, which = np.unique((radix << np.uint64(2 * BITS)) | keys, return_inverse=True)
-    record, times = np.unique(which.astype(np.int64) * n_docs + docs, return_counts=True)
-    key_of, doc_of = record // n_docs, record % n_docs
-    first = np.searchsorted(key_of, np.arange(len(own) + 1))
+    own, first, doc_of, times = _records((radix << np.uint64(2 * BITS)) | keys, docs, n_docs)
     pairs = np.empty(len(own), ENTRY)
     pairs["key"] = own & np.uint64((1 << 2 * BITS) - 1)
     pairs["n"] = np.add.reduceat(times, first[:-1]) if len(own) else 0

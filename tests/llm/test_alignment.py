@@ -134,3 +134,16 @@ def test_query_over_whole_documents(spark, tiny):
     rows = queries.table(spark, tiny, "documents").select("doc_id", "text").collect()
     expected, _, _ = plain([r["text"] for r in rows])
     assert {tuple(r) for r in queries.op12_alignment(spark, tiny).collect()} == {(r["doc_id"], *e) for r, e in zip(rows, expected)}
+
+
+@pytest.mark.parametrize("ids, n_docs", [(30, 7), (32_000, 1), (32_000, 70_000), (1 << al.BITS, 1 << 20), (1, 1)])
+def test_records_are_those_of_a_plain_count_whatever_bits_they_need(ids, n_docs):
+    """Few bits are sorted as one number, many by key and record."""
+    rng = np.random.default_rng(ids)
+    a, b, docs = (rng.integers(0, most, 500) for most in (ids, ids, n_docs))
+    keys = ((b % al.RADICES).astype(np.uint64) << np.uint64(2 * al.BITS)) | (b.astype(np.uint64) << np.uint64(al.BITS)) | a.astype(np.uint64)
+    own, first, doc_of, times = al._records(keys, docs, n_docs)
+    plain = collections.Counter(zip(keys.tolist(), docs.tolist()))
+    assert own.tolist() == sorted(set(keys.tolist())) and first[-1] == len(doc_of) == len(plain)
+    found = {(k, d): n for i, k in enumerate(own.tolist()) for d, n in zip(doc_of[first[i] : first[i + 1]].tolist(), times[first[i] : first[i + 1]].tolist())}
+    assert found == plain
