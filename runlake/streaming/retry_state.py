@@ -13,6 +13,7 @@ watermark and counted (``dropped``); a run without an id is a beat that only mov
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,26 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(name, ROCKSDB)
 
 
+@contextmanager
+def state_layout(spark: SparkSession) -> Iterator[None]:
+    """How a query that starts meanwhile keeps its state; its checkpoint holds on to it, other queries are not touched.
+
+    Each store is loaded, committed and copied to the checkpoint in every batch, whatever it holds, and a
+    state keeps its number of partitions for ever. So that number follows the cores and is no larger than
+    ``spark.sql.shuffle.partitions``, which may grow with the rows; stores in RocksDB are on disk and take any
+    number of rows. A join keeps its four tables in one store a partition.
+    """
+    partitions, version = "spark.sql.shuffle.partitions", "spark.sql.streaming.join.stateFormatVersion"
+    before = {name: spark.conf.get(name) for name in (partitions, version)}
+    spark.conf.set(partitions, min(int(before[partitions]), 2 * spark.sparkContext.defaultParallelism))
+    spark.conf.set(version, max(int(before[version]), 3))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def in_event_order(candidates: DataFrame, lateness: str, budget: int = RETRY_BUDGET) -> DataFrame:
     """Decisions (run_id, pipeline_id, start_time, action_taken, success, retry_count) on a stream of failed runs.
 

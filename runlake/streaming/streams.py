@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from runlake.plans.knowledge import incident_docs
 from runlake.plans.store import Store, names
 from runlake.schemas import CANCELLED, FAILED, RETRY_BUDGET, SUCCEEDED, VERIFY_SECONDS
 from runlake.sources.records import LOG_TIME, flattened
-from runlake.streaming.retry_state import in_event_order, keep_state_in_rocksdb
+from runlake.streaming.retry_state import in_event_order, keep_state_in_rocksdb, state_layout
 
 
 def land(rows: DataFrame, path: str, time: str, part: int, parts: int) -> None:
@@ -46,9 +47,13 @@ def arrived(spark: SparkSession, path: str, files_at_once: int | None = None) ->
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
 
 
-def drain(stream: DataFrame, base: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Hands every batch that has arrived to ``each`` (rows, batch id) and ends; a later call goes on from there."""
-    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+def drain(stream: DataFrame, base: str, each: Callable[[DataFrame, int], None], mode: str = "append", stateful: bool = False) -> StreamingQuery:
+    """Hands every batch that has arrived to ``each`` (rows, batch id) and ends; a later call goes on from there.
+
+    ``stateful``: the stream itself keeps a state, in few stores (``state_layout``).
+    """
+    with state_layout(stream.sparkSession) if stateful else nullcontext():
+        query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -147,13 +152,13 @@ def once_each(runs: DataFrame, base: str, within: str | None = None) -> DataFram
     else:
         timed = runs.withColumn("_start", F.col("start_time").cast("timestamp")).withWatermark("_start", within)
         once = timed.dropDuplicatesWithinWatermark(["run_id"]).drop("_start")
-    drain(once, base, lambda rows, batch: put(rows, base, "seen", batch))
+    drain(once, base, lambda rows, batch: put(rows, base, "seen", batch), stateful=True)
     return all_of(runs.sparkSession, base, "seen")
 
 
 def retry_decisions(candidates: DataFrame, base: str, lateness: str, budget: int = RETRY_BUDGET) -> DataFrame:
     """The retry policy on runs that arrive in any order, within ``lateness``; what the watermark has passed is decided."""
-    drain(in_event_order(candidates, lateness, budget), base, lambda rows, batch: put(rows, base, "decisions", batch))
+    drain(in_event_order(candidates, lateness, budget), base, lambda rows, batch: put(rows, base, "decisions", batch), stateful=True)
     return all_of(candidates.sparkSession, base, "decisions")
 
 
@@ -178,7 +183,7 @@ def awaited_outcomes(incidents: DataFrame, runs: DataFrame, lateness: str, early
 
 def outcomes(incidents: DataFrame, runs: DataFrame, base: str, lateness: str, early: str = "0 seconds", verify_seconds: int = VERIFY_SECONDS) -> DataFrame:
     """Outcomes of reruns as incidents and runs arrive; what is still awaited is not in the result yet."""
-    drain(awaited_outcomes(incidents, runs, lateness, early, verify_seconds), base, lambda rows, batch: put(rows, base, "outcomes", batch))
+    drain(awaited_outcomes(incidents, runs, lateness, early, verify_seconds), base, lambda rows, batch: put(rows, base, "outcomes", batch), stateful=True)
     return all_of(incidents.sparkSession, base, "outcomes")
 
 
@@ -203,7 +208,7 @@ def recent_failures(runs: DataFrame, base: str, minutes: int) -> DataFrame:
 def daily_counts(incidents: DataFrame, base: str) -> DataFrame:
     """Incidents by UTC day and category, refreshed with every batch; the state is one row a day and category."""
     counts = incidents.groupBy(F.to_date("timestamp").alias("date"), "error_category").agg(F.count("*").alias("n"))
-    drain(counts, base, lambda rows, batch: put(rows, base, "daily", batch), "complete")
+    drain(counts, base, lambda rows, batch: put(rows, base, "daily", batch), "complete", stateful=True)
     return newest(incidents.sparkSession, base, "daily")
 
 

@@ -127,6 +127,26 @@ def test_awaiting_state_goes_when_the_bound_has_passed(spark):
     assert held[-1] <= held[0]
 
 
+def test_states_have_few_stores_however_many_partitions_a_shuffle_has(spark):
+    a, b, runs, both, one = (new_path(spark, x) for x in ("asked", "runs", "retry", "both", "one"))
+    land(spark, a, [("i", "n", T0)], ASKED)
+    land(spark, b, [("n", "Succeeded", T0)], RUN)
+    land(spark, runs, [("r", "p", T0, True, True)], CANDIDATE)
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "24")
+    try:
+        streams.outcomes(streams.arrived(spark, a), streams.arrived(spark, b), both, "1 minute")
+        streams.retry_decisions(streams.arrived(spark, runs), one, "1 minute")
+        assert spark.conf.get(name) == "24"
+    finally:
+        spark.conf.set(name, was)
+    for base in (both, one):
+        partitions = streams.names(spark, f"{base}/checkpoint/state/0/[0-9]*")
+        assert 0 < len(partitions) <= 2 * spark.sparkContext.defaultParallelism
+    assert not streams.names(spark, f"{both}/checkpoint/state/0/0/*-key*")  # the join's tables share a store
+
+
 def failing_on(word):
     def check(rows):
         if rows.where(F.col("run_id") == word).count():
