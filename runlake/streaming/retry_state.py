@@ -1,10 +1,13 @@
 """The retry policy as a keyed state: runs may arrive out of order, decisions are made in event order.
 
-Each pipeline holds a counter of its attempts and a buffer of runs whose turn has not come, both in
-RocksDB. A run waits until the watermark has passed its second; a timer then hands the second's runs on in
-the order of (start_time, run_id), so that batches in any order, within the allowed lateness, give the
-decisions of ``policy.decide``. A pipeline whose budget is used up needs no order: its runs are decided as
-they arrive and never buffered. So the state is one number a pipeline, and the runs of the last while.
+Each pipeline holds a counter of its attempts and the runs whose turn has not come, as one value in RocksDB
+that is read and written once a batch. A run waits until the watermark has passed its second; the pipeline's
+one timer then hands on all runs whose turn has come, in the order of (start_time, run_id), so that batches in
+any order, within the allowed lateness, give the decisions of ``policy.decide``. A run that has the whole
+budget of attempts before it among those that have arrived needs no order: whatever still comes cannot change
+it, it is decided at once and never held. So the state is one number a pipeline, and the runs of the last
+while up to the attempt that uses the budget up. Where more than ``FEW`` runs that try nothing wait in one
+pipeline, they go to blocks by hour, which are written once and read when their turn comes.
 
 Runs without a start are decided on arrival. Runs later than the allowed lateness are dropped by the
 watermark and counted (``dropped``); a run without an id is a beat that only moves the time on.
@@ -12,8 +15,10 @@ watermark and counted (``dropped``); a run without an id is a beat that only mov
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +27,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from runlake.schemas import ALERT_SENT, AUTO_RERUN, MAX_RETRIES, RETRY_BUDGET
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DECISION = "run_id string, pipeline_id string, start_time timestamp, action_taken string, success boolean, retry_count int"
-#: Milliseconds of runs that one timer hands on.
+DECISION = "run_id string, pipeline_id string, start_us long, action_taken string, success boolean, retry_count int"
+DECIDED = Row(*(c.split(" ")[0] for c in DECISION.split(", ")))
+#: A waiting run, as its pipeline's order sorts it.
+RUNS = "runs array<struct<start_us: long, run_id: string, tries: boolean>>"
+#: Milliseconds of runs that come due together.
 TICK = 1000
+#: Waiting runs that a pipeline's value holds, and milliseconds of a block of more.
+FEW, BLOCK = 1000, 3_600_000
+
+
+def due_at(run: tuple) -> int:
+    """The watermark in milliseconds at which a run's turn has come."""
+    return (run[0] // 1000 // TICK + 1) * TICK
+
+
+def block_of(run: tuple) -> int:
+    return run[0] // 1000 // BLOCK
 
 
 class RetryBudget(StatefulProcessor):
@@ -33,47 +52,97 @@ class RetryBudget(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempts = handle.getValueState("attempts", "n int")
-        self.waiting = handle.getMapState("waiting", "tick long", "runs array<struct<start_time: timestamp, run_id: string, tries: boolean>>")
+        self.own = handle.getValueState("own", f"n int, due long, parts int, {RUNS}")
+        self.blocks = handle.getMapState("blocks", "block long, part int", RUNS)
 
-    def decided(self, key, n: int, run_id, start, tries: bool) -> tuple[int, Row]:
+    def decided(self, key, n: int, run: tuple) -> tuple[int, Row]:
         """The attempts after a run, and its decision."""
+        start, run_id, tries = run
         action = MAX_RETRIES if n >= self.budget else AUTO_RERUN if tries else ALERT_SENT
         n += action == AUTO_RERUN
-        return n, Row(run_id=run_id, pipeline_id=key[0], start_time=start, action_taken=action, success=action == AUTO_RERUN, retry_count=n)
-
-    def count(self) -> int:
-        return self.attempts.get()[0] if self.attempts.exists() else 0
+        return n, DECIDED(run_id, key[0], start, action, action == AUTO_RERUN, n)
+
+    def put_away(self, runs: list[tuple], parts: int) -> int:
+        """Writes runs to their blocks, as parts that no earlier one has the number of; gives the parts so far."""
+        for block, some in groupby(sorted(runs), block_of):
+            parts += 1
+            self.blocks.updateValue((block, parts), (list(some),))
+        return parts
+
+    def hold(self, was: int | None, n: int, due: int | None, parts: int, runs: list[tuple]) -> None:
+        """Writes a pipeline's value, and moves its timer from ``was`` to ``due``."""
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.own.update((n, due, parts, runs))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = n = self.count()
-        new: dict[int, list[tuple]] = {}
+        n, due, parts, held = self.own.get() or (0, None, 0, ())
+        held = [tuple(r) for r in held]
+        # no more waiting tries than the budget has left; the last of these uses it up, and what comes after it is decided
+        tries, others = sorted(r for r in held if r[2]), [r for r in held if not r[2]]
+        before, was, away = (n, parts, tries + others), due, []
+        beyond = lambda run: len(tries) == self.budget - n and (not tries or run > tries[-1])
         for row in rows:
             if row.run_id is None:
                 continue
-            if n >= self.budget or row.start_time is None:
-                n, out = self.decided(key, n, row.run_id, row.start_time, row.tries)
+            run = (row.start_us, row.run_id, row.tries)
+            if row.start_us is None:
+                n, out = self.decided(key, n, run)
                 yield out
+            elif beyond(run):
+                yield self.decided(key, self.budget, run)[1]
+            elif row.tries:
+                insort(tries, run)
             else:
-                tick = (int(row.start_ms) // TICK + 1) * TICK
-                new.setdefault(tick, []).append((row.start_time, row.run_id, row.tries))
-        for tick, runs in new.items():
-            held = self.waiting.getValue((tick,)) if self.waiting.containsKey((tick,)) else None
-            if held is None:
-                self.handle.registerTimer(tick)
-            self.waiting.updateValue((tick,), ([tuple(r) for r in held[0]] + runs if held else runs,))
-        if n != before:
-            self.attempts.update((n,))
+                others.append(run)
+            if len(tries) > self.budget - n:
+                yield self.decided(key, self.budget, tries.pop())[1]
+            if len(others) >= FEW:
+                for run in filter(beyond, others):
+                    yield self.decided(key, self.budget, run)[1]
+                others = [r for r in others if not beyond(r)]
+                if len(others) >= FEW:
+                    parts = self.put_away(others, parts)
+                    away.append(min(map(due_at, others)))
+                    others = []
+        for run in filter(beyond, others):
+            yield self.decided(key, self.budget, run)[1]
+        others = [r for r in others if not beyond(r)]
+        if (n, parts, tries + others) != before:
+            due = min([*map(due_at, tries + others), *away, *([was] if before[1] else [])], default=None)
+            self.hold(was, n, due, parts, tries + others)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        tick = expiredTimerInfo.getExpiryTimeInMs()
-        before = n = self.count()
-        for start, run_id, tries in sorted(tuple(r) for r in self.waiting.getValue((tick,))[0]):
-            n, out = self.decided(key, n, run_id, start, tries)
+        now = timerValues.getCurrentWatermarkInMs()
+        n, was, parts, held = self.own.get()
+        held = sorted(tuple(r) for r in held)
+        ready, rest = [r for r in held if due_at(r) <= now], [r for r in held if due_at(r) > now]
+        dues = [due_at(r) for r in rest[:1]]
+        if parts:
+            places = sorted(tuple(p) for p in self.blocks.keys())
+            open_ = [p for p in places if p[0] * BLOCK < now]
+            dues += [p[0] * BLOCK + TICK for p in places[len(open_) :][:1]]
+            parts = max((p[1] for p in places[len(open_) :]), default=0)
+            for block, some in groupby(open_, lambda p: p[0]):
+                runs = []
+                for place in some:
+                    runs += [tuple(r) for r in self.blocks.getValue(place)[0]]
+                    self.blocks.removeKey(place)
+                here = [r for r in ready if block_of(r) <= block]
+                ready = ready[len(here) :]
+                for run in sorted(here + [r for r in runs if due_at(r) <= now]):
+                    n, out = self.decided(key, n, run)
+                    yield out
+                later = [r for r in runs if due_at(r) > now]
+                parts = self.put_away(later, parts)
+                dues += [min(map(due_at, later))] if later else []
+        for run in ready:
+            n, out = self.decided(key, n, run)
             yield out
-        self.waiting.removeKey((tick,))
-        if n != before:
-            self.attempts.update((n,))
+        self.hold(None if was == expiredTimerInfo.getExpiryTimeInMs() else was, n, min(dues, default=None), parts, rest)
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
@@ -111,9 +180,9 @@ def in_event_order(candidates: DataFrame, lateness: str, budget: int = RETRY_BUD
     keep_state_in_rocksdb(candidates.sparkSession)
     start = F.col("start_time").cast("timestamp")
     tries = F.coalesce(F.col("is_auto_fixable") & F.col("triggered"), F.lit(False))
-    rows = candidates.select("run_id", "pipeline_id", start.alias("start_time"), F.unix_millis(start).alias("start_ms"), tries.alias("tries"))
+    rows = candidates.select("run_id", "pipeline_id", start.alias("start_time"), F.unix_micros(start).alias("start_us"), tries.alias("tries"))
     found = rows.withWatermark("start_time", lateness).groupBy("pipeline_id").transformWithState(RetryBudget(budget), DECISION, "Append", "EventTime")
-    return found.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
+    return found.select("run_id", "pipeline_id", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("start_time"), "action_taken", "success", "retry_count")
 
 
 def dropped(query: StreamingQuery) -> int:

@@ -54,6 +54,38 @@ def test_retry_state_is_bounded_and_counts_what_came_too_late(spark):
     assert "late" not in decisions(streams.all_of(spark, base, "decisions"))
 
 
+def test_retry_state_holds_nothing_that_is_decided_and_a_pipeline_once(spark):
+    """Runs with the budget's attempts before them do not wait, whatever the watermark; the others are one value."""
+    landed, base = new_path(spark, "landed"), new_path(spark, "stream")
+    rows = [(f"r{i:03}", f"p{i % 3}", HOURS(i), True, True) for i in range(60)]
+    land(spark, landed, rows[30:], CANDIDATE)
+    land(spark, landed, rows[:30], CANDIDATE)
+    query = streams.drain(retry_state.in_event_order(streams.arrived(spark, landed), "100 hours"), base, lambda rows, batch: streams.put(rows, base, "decisions", batch))
+    operator = query.recentProgress[-1]["stateOperators"][0]
+    assert operator["numRowsTotal"] <= 3 and operator["customMetrics"]["numRegisteredTimers"] <= 3
+    early = decisions(streams.all_of(spark, base, "decisions"))
+    assert len(early) == 60 - 3 * 3 and set(early.values()) == {("max_retries_exceeded", False, 3)}
+    streams.beat(spark, landed, start_time=F.lit(HOURS(1000)))
+    found = streams.retry_decisions(streams.arrived(spark, landed), base, "100 hours")
+    assert decisions(found) == simulated(rows, 3) and found.count() == 60
+
+
+def test_many_waiting_runs_of_one_pipeline_go_to_blocks(spark):
+    rows = [(f"r{i:04}", f"p{i % 50 == 0}", HOURS(i % 977 / 49), i % 1300 == 1299, True) for i in range(4000)]
+    late = random.Random(2)
+    rows.sort(key=lambda r: r[2] + dt.timedelta(hours=late.uniform(0, 6)))  # of 20 hours
+    landed, base = new_path(spark, "landed"), new_path(spark, "stream")
+    for i in range(3):
+        part = rows[i * 1400 : (i + 1) * 1400]
+        land(spark, landed, late.sample(part, len(part)), CANDIDATE)
+        streams.retry_decisions(streams.arrived(spark, landed), base, "8 hours")
+    some = streams.all_of(spark, base, "decisions").count()
+    assert 0 < some < 4000  # the first of them had their turn, blocks in part
+    streams.beat(spark, landed, start_time=F.lit(HOURS(100)))
+    found = streams.retry_decisions(streams.arrived(spark, landed), base, "8 hours")
+    assert decisions(found) == simulated(rows, 3) and found.count() == 4000
+
+
 def test_runs_are_handled_once_over_batches(spark):
     landed, base = new_path(spark, "landed"), new_path(spark, "stream")
     schema = "run_id string, start_time timestamp_ntz"
