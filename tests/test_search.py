@@ -5,11 +5,15 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from oracle import assert_same
 from runlake.plans import search as sr, vectors as vc
-from runlake.queries import QUERIES
+from runlake.queries import ORACLE, QUERIES
 
 
 def brute(queries, docs, k):
@@ -169,3 +173,24 @@ def test_directions_of_long_vectors_take_no_power_of_their_length(spark):
     assert time.monotonic() - started < 60
     assert [found[i] for i in (40, 41, 42)] == [None, None, None]
     assert all(np.allclose(found[i], np.array(v) / np.linalg.norm(v), atol=1e-12) for i, v in docs[:40])
+
+
+def labelled(folder):
+    """Vectors of label 0 and others, with ids that repeat, are null or divisible by 100; and a database that reads them."""
+    rng = np.random.default_rng(8)
+    ids = [*range(95, 135), 7, 7, None, None, 300, 400]
+    labels = [0 if i % 3 == 0 else None if i % 7 == 0 else 1 for i in range(40)] + [0, 0, 0, 0, 0, 2]
+    vectors = pa.array([rng.standard_normal(6).tolist() for _ in ids], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": vectors, "label": pa.array(labels, pa.int32())}), f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    return {i for i, label in zip(ids, labels) if label == 0}, con
+
+
+def test_every_vector_of_label_0_is_searched(spark, tmp_path):
+    asked, con = labelled(tmp_path)
+    hits = QUERIES["kb_search"](spark, str(tmp_path)).cache()
+    assert {r["query_id"] for r in hits.collect()} == asked and {7, 95, 300, None} <= asked and not {100, 400} & asked
+    assert hits.count() == 5 * len(asked)
+    assert_same(hits, con, ORACLE["kb_search"])
+    hits.unpersist()
