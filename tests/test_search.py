@@ -194,3 +194,13 @@ def test_every_vector_of_label_0_is_searched(spark, tmp_path):
     assert hits.count() == 5 * len(asked)
     assert_same(hits, con, ORACLE["kb_search"])
     hits.unpersist()
+
+
+def test_every_vector_of_label_0_gets_its_references(spark, tmp_path):
+    asked, con = labelled(tmp_path)
+    pq.write_table(pa.table({"doc_id": pa.array([*range(90, 140), 7, 300, 400], pa.int64()), "text": [f"text {i}" for i in range(53)], "source": [f"source {i}" for i in range(53)]}), f"{tmp_path}/documents.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = QUERIES["diagnosis_refs"](spark, str(tmp_path)).cache()
+    assert {r["query_id"] for r in found.collect()} == asked
+    assert_same(found, con, ORACLE["diagnosis_refs"])
+    found.unpersist()
